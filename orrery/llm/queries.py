@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.llm.edits import similar_groups
 from orrery.llm.leaks import leaked_spans, remove_leaks
 from orrery.llm.mixing import mixture, token_sizes
+from orrery.llm.overlap import cross_split_overlaps
 from orrery.llm.proportional import proportional_sample
 from orrery.llm.subset import varied_subset
 from orrery.runtime import table
@@ -18,6 +20,14 @@ def p1_varied_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return varied_subset(table(spark, sf_dir, "space_vectors"), table(spark, sf_dir, "spaces"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_split_overlaps(table(spark, sf_dir, "samples"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_groups(table(spark, sf_dir, "samples"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, report = proportional_sample(table(spark, sf_dir, "samples"), table(spark, sf_dir, "sample_targets"))
     return report.where("short").select("target_id", F.col("y").cast("long").alias("y"))
