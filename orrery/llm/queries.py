@@ -12,6 +12,7 @@ from orrery.llm.leaks import leaked_spans, remove_leaks
 from orrery.llm.mixing import mixture, token_sizes
 from orrery.llm.overlap import cross_split_overlaps
 from orrery.llm.proportional import proportional_sample
+from orrery.llm.spans import shared_amounts, shared_spans
 from orrery.llm.subset import varied_subset
 from orrery.runtime import table
 
@@ -62,6 +63,14 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(token_sizes(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"))[1]
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_spans(table(spark, sf_dir, "documents"))
+
+
+def p9_shared_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_amounts(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit() and callable(f)}
 
