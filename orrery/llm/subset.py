@@ -9,28 +9,28 @@ from orrery.functions.ranking import spread_rank
 from orrery.llm.vectors import valid_vectors
 from orrery.runtime import checked_broadcast, materialize
 
-#: Attributes of the grid and the width of their bins; a unit vector's attribute has a standard deviation near 1.
-ATTRIBUTES, WIDTH = 10, 0.8
+#: Attributes of the grid, coordinates in each, and the width of their bins; an attribute's standard deviation over random
+#: unit vectors is 1.
+ATTRIBUTES, COORDINATES, WIDTH = 10, 16, 0.8
 
 
-def sign_sql(i: str, j: int) -> str:
-    """SQL for the sign (+1 or -1) of coordinate `i` in attribute `j`: a fixed pseudo-random direction."""
-    return f"(1 - 2 * (((({i} + 1) * {40503 + 7919 * j} + {i} * {i} * {9973 + 131 * j}) % 65521) % 2))"
+def attribute_sql(j: int, coordinate: str, dim: str) -> str:
+    """SQL for the j-th attribute before scaling: a sum of COORDINATES signed coordinates, a very sparse random projection.
+
+    `coordinate` is a template with {i} for the 0-based place. Such a sum stays inside generated code, unlike a dense one.
+    """
+    signs = ["+" if (t * t * 31 + t * (7 * j + 3) + 11 * j) % 13 % 2 else "-" for t in range(COORDINATES)]
+    return "(0 " + " ".join(f"{sign} {coordinate.format(i=f'(({17 * j + 7 * t + j * j * t}) % {dim})')}" for t, sign in enumerate(signs)) + ")"
 
 
-def grid_cell(vector: Column) -> Column:
-    """The cell of a vector as text, one character per attribute, so that a prefix is a coarser cell.
+def grid_cell(vector: str = "vector") -> tuple[Column, Column]:
+    """(scaled norm, to be named __norm; cell). The cell of a vector is a text, one character per attribute, so that a prefix is a coarser cell.
 
-    Attribute j is the unit vector's dot product with a fixed +-1 direction, rounded to 9 decimals and cut into bins of WIDTH.
+    An attribute of the unit vector is rounded to 9 decimals and cut into bins of WIDTH.
     """
-    unit = F.transform(vector, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(unit, F.lit(0.0), lambda s, x: s + x * x))
-    cells = []
-    for j in range(ATTRIBUTES):
-        signed = F.aggregate(F.zip_with(unit, F.sequence(F.lit(0), F.size(vector) - 1), lambda x, i: x * F.when((((i + 1) * (40503 + 7919 * j) + i * i * (9973 + 131 * j)) % 65521) % 2 == 0, 1.0).otherwise(-1.0)), F.lit(0.0), lambda s, x: s + x)
-        bin_ = F.least(F.greatest(F.floor(F.round(signed / norm, 9) / WIDTH), F.lit(-20)), F.lit(20))
-        cells.append(F.char(bin_ + 85))
-    return F.concat(*cells)
+    norm = f"sqrt(aggregate({vector}, 0D, (s, x) -> s + cast(x as double) * cast(x as double)) * {COORDINATES} / size({vector}))"
+    bins = [F.expr(f"char(least(greatest(floor(round({attribute_sql(j, f'cast(get({vector}, {{i}}) as double)', f'size({vector})')} / __norm, 9) / {WIDTH}D), -20), 20) + 85)") for j in range(ATTRIBUTES)]
+    return F.expr(norm), F.concat(*bins)
 
 
 def varied_subset(vectors: DataFrame, spaces: DataFrame) -> DataFrame:
@@ -46,8 +46,9 @@ def varied_subset(vectors: DataFrame, spaces: DataFrame) -> DataFrame:
     invalid vectors and repeated rows see valid_vectors. Empty in, empty out.
     """
     asked = spaces.groupBy("space_id").agg(F.max("n_subset").alias("k")).where("k > 0")
-    rows = valid_vectors(vectors, spaces).join(checked_broadcast(asked), "space_id").select("space_id", "vec_id", "sample_id", "k", grid_cell(F.col("vector")).alias("full"))
-    rows = materialize(rows, "cells")
+    rows = valid_vectors(vectors, spaces).join(checked_broadcast(asked), "space_id").select("space_id", "vec_id", "sample_id", "k", "vector")
+    norm, cell = grid_cell("vector")
+    rows = materialize(rows.withColumn("__norm", norm).select("space_id", "vec_id", "sample_id", "k", cell.alias("full")), "cells")
     cells = rows.groupBy("space_id", "k", "full").agg(F.count(F.lit(1)).alias("n"))
     levels = cells.select("space_id", "k", "n", F.explode(F.sequence(F.lit(0), F.lit(ATTRIBUTES))).alias("depth"), "full").withColumn("cell", F.substring("full", F.lit(1), F.col("depth")))
     occupied = levels.groupBy("space_id", "k", "depth").agg(F.countDistinct("cell").alias("cells")).where("cells <= k")
