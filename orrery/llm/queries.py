@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from orrery.llm.edits import similar_groups
 from orrery.llm.leaks import leaked_spans, remove_leaks
 from orrery.llm.mixing import mixture, token_sizes
+from orrery.llm.neighbours import nearest
 from orrery.llm.overlap import cross_split_overlaps
 from orrery.llm.proportional import proportional_sample
 from orrery.llm.spans import shared_amounts, shared_spans
 from orrery.llm.subset import varied_subset
+from orrery.llm.vectors import valid_vectors
 from orrery.runtime import table
 
 
@@ -42,6 +44,21 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proportional_sample(table(spark, sf_dir, "samples"), table(spark, sf_dir, "sample_targets"))[1].select("target_id", "y", "min_rows", "available", "seats", "short")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    valid = valid_vectors(table(spark, sf_dir, "space_vectors"), table(spark, sf_dir, "spaces"))
+    return nearest(valid, table(spark, sf_dir, "search_queries")).select("query_id", "vec_id")
+
+
+def p6_neighbours(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
+    """SearchResult rows of every vector whose id is divisible by 100, by the metric of its space (cosine where that is null)."""
+    spaces = table(spark, sf_dir, "spaces")
+    valid = valid_vectors(table(spark, sf_dir, "space_vectors"), spaces)
+    metric = spaces.select("space_id", F.coalesce("metric", F.lit("cosine")).alias("metric"))
+    asked = valid.where("vec_id % 100 = 0").join(F.broadcast(metric), "space_id").select(F.col("vec_id").alias("query_id"), "space_id", "vec_id", F.lit(k).alias("k"), "metric")  # the catalog of spaces
+    found = nearest(valid, asked).join(valid.select("vec_id", F.col("vec_offset").alias("nbr_offset"), "space_id"), "vec_id").join(F.broadcast(metric), "space_id")
+    return found.select("query_id", "rank_no", "nbr_offset", F.when(F.col("metric") == "l2", -F.col("score")).otherwise(F.col("score")).alias("distance"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id").distinct()
 

@@ -55,3 +55,43 @@ placed as (select space_id, vec_id, sample_id, k, substring(full_cell, 1, depth:
 ranked as (select *, row_number() over (partition by space_id, cell order by md5(vec_id::varchar), vec_id) as rank_no from placed),
 turns as (select *, row_number() over (partition by space_id order by rank_no, md5(cell), cell) as turn from ranked)
 select space_id, vec_id, sample_id, cell, rank_no from turns where turn <= k"""
+
+_LINKS = """
+sets as (
+  select sample_id, list_distinct(regexp_extract_all(lower(x), '[a-z0-9]+')) as ws from (select sample_id, any_value(x) as x from samples where x is not null group by 1)),
+long_sets as (select sample_id, ws, len(ws) as n from sets where len(ws) >= 8),
+held as (select sample_id, n, unnest(ws) as word from long_sets),
+df as (select word, count(*) as df from held group by 1),
+ordered as (select h.sample_id, h.n, h.word, row_number() over (partition by h.sample_id order by d.df, h.word) as k from held h join df d using (word)),
+prefix as (select sample_id, n, word from ordered where k <= n - ceil(0.8::double * n - 1e-9) + 1),
+pairs as (select distinct a.sample_id as a, b.sample_id as b from prefix a join prefix b on a.word = b.word and a.sample_id < b.sample_id and b.n >= 0.8::double * a.n - 1e-9 and a.n >= 0.8::double * b.n - 1e-9),
+sizes as (select p.a, p.b, len(list_intersect(x.ws, y.ws)) as c, x.n as na, y.n as nb from pairs p join long_sets x on x.sample_id = p.a join long_sets y on y.sample_id = p.b),
+links as (select a, b from sizes where c >= 0.8::double * (na + nb - c) - 1e-9)"""
+
+ORACLES["p3_found"] = f"""
+with {_LINKS},
+sides as (select distinct sample_id, lower(trim(split)) = 'train' as train from samples where lower(trim(split)) in ('train', 'val', 'test'))
+select distinct l.a as sample_id_a, l.b as sample_id_b from links l join sides x on x.sample_id = l.a join sides y on y.sample_id = l.b where x.train <> y.train"""
+
+ORACLES["p4_found"] = f"""
+with recursive {_LINKS},
+both_ways as (select a, b from links union select b, a from links),
+reach(node, seen) as (select a, a from both_ways union select r.node, e.b from reach r join both_ways e on e.a = r.seen)
+select min(seen) as group_id, node as sample_id from reach group by node"""
+
+_VALID = """
+valid as (
+  select v.vec_id, v.space_id, v.vec_offset, v.label, v.vector::double[] as v
+  from (select * from space_vectors where vec_id is not null qualify row_number() over (partition by vec_id order by added_at nulls first) = 1) v join spaces s using (space_id)
+  where v.vector is not null and len(v.vector) = s.dim and not list_contains(list_transform(v.vector, lambda x: isnan(x)), true) and list_max(list_transform(v.vector, lambda x: abs(x))) > 0)"""
+
+_SCORE = """case {m} when 'cosine' then round(list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))), 9)
+    when 'l2' then round(-list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 9) else round(list_inner_product(a.v, b.v), 9) end"""
+
+ORACLES["p6_found"] = f"""
+with {_VALID},
+scored as (
+  select q.query_id, b.vec_id, q.k, {_SCORE.format(m='q.metric')} as score
+  from search_queries q join valid a on a.vec_id = q.vec_id and a.space_id = q.space_id join valid b on b.space_id = a.space_id and b.vec_id <> a.vec_id),
+ranked as (select query_id, vec_id, k, row_number() over (partition by query_id order by score desc, vec_id) as n from scored)
+select query_id, vec_id from ranked where n <= k"""
