@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.llm.clusters import describe_clusters, similarity_clusters
 from orrery.llm.edits import similar_groups
 from orrery.llm.leaks import leaked_spans, remove_leaks
 from orrery.llm.mixing import mixture, token_sizes
@@ -23,6 +24,15 @@ def p1_varied_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return varied_subset(table(spark, sf_dir, "space_vectors"), table(spark, sf_dir, "spaces"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_clusters(valid_vectors(table(spark, sf_dir, "space_vectors"), table(spark, sf_dir, "spaces"))).select("cluster_id", "vec_id")
+
+
+def p2_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    valid = valid_vectors(table(spark, sf_dir, "space_vectors"), table(spark, sf_dir, "spaces"))
+    return describe_clusters(similarity_clusters(valid), valid)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_split_overlaps(table(spark, sf_dir, "samples"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.runtime import checked_broadcast, materialize
@@ -30,3 +30,15 @@ def valid_vectors(vectors: DataFrame, spaces: DataFrame) -> DataFrame:
     again = rows.join(repeated, "vec_id", "left_semi").groupBy("vec_id").agg(F.min(F.struct("added_at", *[c for c in _NAMES if c not in ("vec_id", "added_at")])).alias("r"))
     once = single.unionByName(again.select("vec_id", "r.*"))
     return once.join(checked_broadcast(dims), "space_id").where(is_valid(F.col("vector"), F.col("__dim"))).select(*_NAMES[:-1])
+
+
+def sample_rows(vectors: DataFrame, size: int) -> DataFrame:
+    """(space_id, vec_id, vector) of `size` rows of each space, chosen by a hash of vec_id: what models are fitted on.
+
+    Rows are thinned by the hash before they are ranked, so that no task ranks a whole space.
+    """
+    counts = checked_broadcast(materialize(vectors.groupBy("space_id").agg(F.count(F.lit(1)).alias("rows")), "counts"))
+    draw = F.pmod(F.xxhash64("vec_id", F.lit(11)), F.lit(1 << 20))
+    few = vectors.select("space_id", "vec_id", "vector").join(counts, "space_id").withColumn("draw", draw).where(F.col("draw") * F.col("rows") <= F.lit(1.2 * size + 300) * (1 << 20))
+    ranked = few.withColumn("n", F.row_number().over(Window.partitionBy("space_id").orderBy("draw", "vec_id")))
+    return ranked.where(F.col("n") <= size).select("space_id", "vec_id", "vector")
