@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.wordsets import MIN_WORDS, SIMILARITY, Hasher, common_words, connected_groups, exact_links, is_common, mix, segments, set_hash, texts_of
+from orrery.llm.wordsets import MIN_WORDS, SIMILARITY, Hasher, common_words, connected_groups, exact_links, is_common, mix, one_version, segments, set_hash, texts_of
 from orrery.runtime import checked_broadcast, materialize
 
 #: Shard keys a record gets, minima of hashes per key, bits of a fingerprint, records beyond which a shard is hot, and the
@@ -202,7 +202,8 @@ def similar_groups(records: DataFrame, id_col: str = "sample_id", text_col: str
     covers empty texts; texts count whole; repeated rows of an id are one record. No rows give no groups.
     """
     texts = texts_of(records, id_col, text_col)
-    prints = materialize(fingerprints(texts, common_words(texts, COMMON), min_words, n_keys), "prints")
+    prints = materialize(fingerprints(texts, common_words(texts, COMMON)[0], min_words, n_keys), "prints")
+    prints = one_version(prints)
     members = prints.select("set_hash", "id").distinct()
     classes = prints.groupBy("set_hash").agg(F.min(F.struct("id", "n", "f0", "f1", "keys")).alias("r")).select("r.*")
     keyed = classes.select(F.explode("keys").alias("key"), "id", "n", "f0", "f1")

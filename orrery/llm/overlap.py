@@ -10,11 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.wordsets import COMMON, MIN_WORDS, SIMILARITY, Hasher, common_words, exact_links, is_common, segments, set_hash, texts_of
-from orrery.runtime import materialize
+from orrery.llm.wordsets import MIN_WORDS, SIMILARITY, Hasher, common_words, exact_links, mix, one_version, set_hash, texts_of
+from orrery.runtime import checked_broadcast, materialize
 
-#: A word is CODE letters of 6 bits; passages per automaton.
-CODE, SHARD = 4, 150_000
+#: A word is CODE letters of 6 bits; passages per automaton; words of a passage at most; share of records from which a word's
+#: commonness is told apart.
+CODE, SHARD, LONGEST, COMMON = 3, 150_000, 6, 0.02
 _LETTERS = np.frombuffer(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+-", np.uint8)
 _SPAN = 64**CODE
 
@@ -24,153 +25,211 @@ def spell(codes: np.ndarray) -> np.ndarray:
     return _LETTERS[(codes[:, None] >> (6 * np.arange(CODE - 1, -1, -1))) & 63].ravel()
 
 
-def normalised(texts: DataFrame, common: np.ndarray, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, train, held, set_hash, n, codes): texts in normal form, `codes` the sorted codes of their words that are not common.
+def normalised(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, train, held, set_hash, n, sketch, codes): texts in normal form, the sorted codes of their distinct words.
 
     The order is that of a hash of the word and the same in every record, so that neither the order of the words nor their
-    repetition matters: two records with nearly the same words have long runs of codes in common. Records with fewer than
+    repetition matters: two records with nearly the same words have long runs of codes in common. The last 8 bits of a code
+    are the share of records that hold the word in steps of 1/255, 0 where it is not common. Every word flips a bit of `sketch`,
+    so that two sketches differ in no more bits than the sets do in words. Records with fewer than
     `min_words` distinct words are left out.
     """
     shared = texts.sparkSession.sparkContext.broadcast(common)
 
     def normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
+        words, shares = shared.value
+        steps = np.maximum(np.floor(shares * 255), 1).astype(np.uint64)
         for b in batches:
             h, sizes = hasher(b.column(1).to_pylist())
-            keep = sizes >= min_words
-            row, n_kept = segments(~is_common(h, shared.value), sizes, keep)
-            own = h[~is_common(h, shared.value) & keep[np.repeat(np.arange(len(sizes)), sizes)]]
-            flat = np.sort((row.astype(np.uint64) << np.uint64(6 * CODE)) | (own % np.uint64(_SPAN)))
-            flat = flat[np.concatenate([[True], np.diff(flat) > 0])] if len(flat) else flat  # two words of a record with one code
-            row = (flat >> np.uint64(6 * CODE)).astype(np.int64)
-            codes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(sizes)))]), pa.int32()), pa.array((flat % np.uint64(_SPAN)).astype(np.int32)))
-            rows = pa.array(np.flatnonzero(keep))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(2).take(rows), b.column(3).take(rows), pa.array(set_hash(h, sizes)).take(rows), pa.array(sizes, pa.int32()).take(rows), codes.take(rows)], names=["id", "train", "held", "set_hash", "n", "codes"])
+            level = np.zeros(len(h), np.uint64)
+            if len(words):
+                at = np.minimum(np.searchsorted(words, h), len(words) - 1)
+                level = np.where(words[at] == h, steps[at], level)
+            row = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
+            flat = np.sort(row << np.uint64(6 * CODE + 8) | (h % np.uint64(_SPAN)) << np.uint64(8) | level)
+            new = np.concatenate([[True], np.diff(flat >> np.uint64(8)) > 0]) if len(flat) else np.zeros(0, bool)
+            flat = flat[new]  # two words of a record with one code are one
+            per = np.bincount((flat >> np.uint64(6 * CODE + 8)).astype(np.int64), minlength=len(sizes))
+            codes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]), pa.int32()), pa.array((flat & np.uint64(2 ** (6 * CODE + 8) - 1)).astype(np.int32)))
+            rows = pa.array(np.flatnonzero(sizes >= min_words))
+            sketch = np.zeros(len(sizes), np.uint64)
+            np.bitwise_xor.at(sketch, np.repeat(np.arange(len(sizes)), sizes), np.uint64(1) << (mix(h, 101) & np.uint64(63)))
+            cols = [b.column(0), b.column(2), b.column(3), pa.array(set_hash(h, sizes)), pa.array(sizes, pa.int32()), pa.array(sketch.view(np.int64)), codes]
+            yield pa.RecordBatch.from_arrays([c.take(rows) for c in cols], names=["id", "train", "held", "set_hash", "n", "sketch", "codes"])
 
-    return texts.select("id", "text", "train", "held").mapInArrow(normal, "id long, train boolean, held boolean, set_hash long, n int, codes array<int>")
+    return texts.select("id", "text", "train", "held").mapInArrow(normal, "id long, train boolean, held boolean, set_hash long, n int, sketch long, codes array<int>")
 
 
-def _cut(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
-    """Cuts normal forms into the pieces that each shard, a range of codes, needs: (shard, kind, id, n, m, at, piece).
+def passages(levels: np.ndarray, sizes: np.ndarray, n: np.ndarray, similarity: float = SIMILARITY, chunk: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, end) of the passages of normal forms that stand one after another in `levels`, `sizes` codes each.
 
-    A piece holds the codes in the range and the one after them; `at` is the place of its first code. Kind 0 is a passage
-    source (held out), kind 1 a text to scan (training); a record may be both.
+    A similar record differs in at most (1 / similarity - 1) * n words, and each of them, lacking or additional, can break
+    one of several disjoint runs of words. From each form one run more than that is taken, so that some run stands whole in
+    every similar record: those that give the fewest chance matches in all, by dynamic programming over the runs of up to
+    LONGEST words (all forms of a chunk at once). A rare word divides the chance by 2**8.5, a common one by 4.
+    """
+    found = []
+    starts = np.cumsum(sizes) - sizes
+    for low in range(0, len(sizes), chunk):
+        size = sizes[low : low + chunk]
+        rows, width = len(size), int(size.max(initial=0))
+        want = np.minimum(np.floor((1 / similarity - 1) * n[low : low + chunk] + 1e-9).astype(np.int64) + 1, size)
+        if not width:
+            continue
+        column = np.arange(width)
+        inside = column < size[:, None]
+        held = np.zeros((rows, width + 1), np.float32)
+        told = np.where(levels[np.minimum(starts[low : low + chunk, None] + column, len(levels) - 1)] == 0, 8.5, 2.0)
+        held[:, 1:] = np.cumsum(np.where(inside, told, 0), axis=1)
+        ends = np.arange(width + 1)
+        chances = [np.exp2(held[:, :-k] - held[:, k:]) for k in range(1, min(LONGEST, width) + 1)]
+        cost = np.zeros((rows, width + 1), np.float32)
+        last, length = [], []
+        for _ in range(int(want.max())):
+            best, size_of = np.full((rows, width + 1), np.inf, np.float32), np.zeros((rows, width + 1), np.int8)
+            for k, chance in enumerate(chances, 1):
+                one = cost[:, :-k] + chance
+                np.copyto(size_of[:, k:], np.int8(k), where=one < best[:, k:])
+                np.minimum(best[:, k:], one, out=best[:, k:])
+            best = np.where(ends <= size[:, None], best, np.inf)
+            least = np.minimum.accumulate(best, axis=1)
+            fresh = np.concatenate([np.ones((rows, 1), bool), best[:, 1:] < least[:, :-1]], axis=1)
+            last.append(np.maximum.accumulate(np.where(fresh, ends, 0), axis=1).astype(np.int16))
+            length.append(size_of)
+            cost = least
+        at = size.astype(np.int64).copy()
+        for k in range(len(last) - 1, -1, -1):
+            row = np.flatnonzero(want > k)
+            end = last[k][row, at[row]].astype(np.int64)
+            begin = end - length[k][row, end]
+            found.append((low + row, begin, end))
+            at[row] = begin
+    if not found:
+        return (np.zeros(0, np.int64),) * 3
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def _cut(batches: Iterator[pa.RecordBatch], shards: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Normal forms as (shard, kind, ids, n, sketches, sizes, letters), one row per batch, shard and kind with all its pieces.
+
+    A shard is a range of codes. Kind 0, held out: the passages that begin in the range. Kind 1, training: the codes in the
+    range and the LONGEST - 1 after them, in which every passage of the shard that the text holds stands whole.
     """
     for b in batches:
         codes = b.column("codes")
-        flat, off = codes.values.to_numpy().astype(np.int64), codes.offsets.to_numpy()
-        sizes = np.diff(off)
-        flat = flat[off[0] : off[-1]]
+        off = codes.offsets.to_numpy()
+        flat, sizes = codes.values.to_numpy().astype(np.int64)[off[0] : off[-1]], np.diff(off)
+        if not len(flat):
+            continue
+        level, flat = flat & 255, flat >> 8
         row = np.repeat(np.arange(b.num_rows), sizes)
-        pos = np.arange(len(flat)) - np.repeat(off[:-1] - off[0], sizes)
+        first_of = np.cumsum(sizes) - sizes
         shard = flat * shards // _SPAN
-        new = np.concatenate([[True], (np.diff(row) > 0) | (np.diff(shard) > 0)]) if len(flat) else np.zeros(0, bool)
-        start = np.flatnonzero(new)
-        end = np.concatenate([start[1:], [len(flat)]]) if len(start) else start
-        more = np.where(end < len(flat), row[np.minimum(end, len(flat) - 1)] == row[start], False) if len(start) else np.zeros(0, bool)
-        long_enough = (end - start + more) >= 2
-        start, end = start[long_enough], (end + more)[long_enough]
-        size = end - start
-        which = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        letters = spell(flat[which]) if len(which) else np.zeros(0, np.uint8)
-        text = pa.StringArray.from_buffers(len(size), pa.py_buffer(np.concatenate([[0], np.cumsum(size) * CODE]).astype(np.int32)), pa.py_buffer(letters.tobytes()))
-        own = row[start]
-        for kind, name in ((0, "held"), (1, "train")):
-            use = b.column(name).to_numpy(zero_copy_only=False)[own] if len(own) else np.zeros(0, bool)
-            pick = np.flatnonzero(use)
-            rows = pa.array(own[pick])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(shard[start][pick], pa.int32()), pa.array(np.full(len(pick), kind), pa.int32()), b.column("id").take(rows), b.column("n").take(rows), pa.array(sizes[own][pick], pa.int32()), pa.array(pos[start][pick], pa.int32()), text.take(pa.array(pick))],
-                names=["shard", "kind", "id", "n", "m", "at", "piece"],
-            )
-
-
-class _Automaton:
-    """Aho-Corasick over all two-word passages of the held-out pieces of one shard."""
-
-    def __init__(self, pieces: list[tuple]) -> None:
-        where: dict[str, list[tuple[int, int, int, int]]] = {}
-        for record, n, m, at, piece in pieces:
-            for i in range(0, len(piece) - CODE, CODE):
-                where.setdefault(piece[i : i + 2 * CODE], []).append((record, n, m, at + i // CODE))
-        self.machine = ahocorasick.Automaton()
-        for passage, places in where.items():
-            self.machine.add_word(passage, places)
-        self.empty = not where
-        if where:
-            self.machine.make_automaton()
-
-    def scan(self, ids: list[int], sizes: list[int], texts: list[str]) -> list[tuple]:
-        """(train id, train n, held id, held n, held m, place) of every passage found; matches inside a word's letters don't count."""
-        if self.empty:
+        train, held = (b.column(c).to_numpy(zero_copy_only=False) for c in ("train", "held"))
+        ids, n, sketch = (b.column(c).to_numpy() for c in ("id", "n", "sketch"))
+        start = np.flatnonzero(np.concatenate([[True], (np.diff(row) > 0) | (np.diff(shard) > 0)]))
+        end = np.concatenate([start[1:], [len(flat)]])
+        pick = train[row[start]]
+        start, end = start[pick], end[pick]
+        end = np.minimum(end + LONGEST - 1, (first_of + sizes)[row[start]])
+        yield from _pack(flat, start, end, shard[start], 1, ids[row[start]], n[row[start]], sketch[row[start]])
+        own = np.flatnonzero(held)
+        r, start, end = passages(level[held[row]], sizes[own], n[own], similarity)
+        start, end = start + first_of[own][r], end + first_of[own][r]
+        yield from _pack(flat, start, end, shard[start], 0, ids[row[start]], n[row[start]], sketch[row[start]])
+
+
+def _pack(flat: np.ndarray, start: np.ndarray, end: np.ndarray, shard: np.ndarray, kind: int, ids: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
+    order = np.argsort(shard, kind="stable")
+    bounds = np.flatnonzero(np.concatenate([[True], np.diff(shard[order]) > 0, [True]])) if len(order) else []
+    rows = []
+    for s, e in zip(bounds[:-1], bounds[1:]):
+        o = order[s:e]
+        size = end[o] - start[o]
+        which = np.repeat(start[o] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        rows.append((int(shard[o[0]]), kind, ids[o].tobytes(), n[o].astype(np.int32).tobytes(), sketch[o].tobytes(), size.astype(np.uint16).tobytes(), spell(flat[which]).tobytes()))
+    if rows:
+        cols = list(zip(*rows))
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[2:]]], names=["shard", "kind", "ids", "n", "sketches", "sizes", "letters"])
+
+
+class PassageAutomaton:
+    """An Aho-Corasick automaton over the passages of the held-out records in one shard."""
+
+    def __init__(self) -> None:
+        self.places: dict[str, list[tuple[int, int, int]]] = {}
+        self.machine: ahocorasick.Automaton | None = None
+
+    def add(self, record: int, n: int, sketch: int, passage: str) -> None:
+        self.places.setdefault(passage, []).append((record, n, sketch))
+
+    def scan(self, ids: list[int], sizes: list[int], sketches: list[int], ends: np.ndarray, letters: str, similarity: float) -> list[tuple[int, int, int]]:
+        """(training id, held-out id, words matched) of every passage found in the pieces that stand one after another in
+        `letters`. Matches that don't begin at a word or run over the end of a piece don't count, nor records whose sketches
+        show more words to differ than the similarity allows."""
+        if self.machine is None:
+            self.machine = ahocorasick.Automaton()
+            for passage, places in self.places.items():
+                self.machine.add_word(passage, (len(passage), places))
+            if self.places:
+                self.machine.make_automaton()
+        if not self.places:
             return []
-        out, i, step = [], 0, 0
-        ends = np.cumsum([len(t) for t in texts]).tolist()
-        joined = "".join(texts)
-        for end, places in self.machine.iter(joined):
-            while ends[i] <= end:
-                i += 1
-            begin = ends[i] - len(texts[i])
-            if (end + 1 - begin) % CODE == 0 and end + 1 - 2 * CODE >= begin:
-                t, n = ids[i], sizes[i]
-                for record, nh, mh, at in places:
-                    if record != t and 4 * n <= 5 * nh and 4 * nh <= 5 * n:
-                        out.append((t, n, record, nh, mh, at))
+        hits = [(end, size, places) for end, (size, places) in self.machine.iter(letters) if (end + 1) % CODE == 0]
+        piece = np.searchsorted(ends, np.array([h[0] for h in hits], np.int64), side="right")
+        begin = np.concatenate([[0], ends])[piece]
+        out, ratio = [], (1 - similarity) / (1 + similarity)
+        for (end, size, places), i, first in zip(hits, piece.tolist(), begin.tolist()):
+            if end + 1 - size >= first:
+                t, n, own = ids[i], sizes[i], sketches[i]
+                for record, held_n, sketch in places:
+                    if (own ^ sketch).bit_count() <= (n + held_n) * ratio + 1e-9 and record != t:
+                        out.append((t, record, size // CODE))
         return out
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reads pieces sorted by shard and kind: builds each shard's automaton, then runs the training pieces through it."""
-    shard, pieces, machine = None, [], None
+def _scan(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Reads packed pieces sorted by shard and kind: fills each shard's automaton, then runs the training pieces through it."""
+    shard, machine = None, PassageAutomaton()
     for b in batches:
-        shards, kinds = b.column("shard").to_numpy(), b.column("kind").to_numpy()
-        ids, sizes, m, at, text = (b.column(c).to_pylist() for c in ("id", "n", "m", "at", "piece"))
-        cuts = np.flatnonzero((np.diff(shards) != 0) | (np.diff(kinds) != 0)) + 1
         out = []
-        for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(shards)]):
-            if s == e:
-                continue
-            if shards[s] != shard:
-                shard, pieces, machine = shards[s], [], None
-            if kinds[s] == 0:
-                pieces += zip(ids[s:e], sizes[s:e], m[s:e], at[s:e], text[s:e])
-            elif pieces:
-                machine = machine or _Automaton(pieces)
-                out += machine.scan(ids[s:e], sizes[s:e], text[s:e])
+        for at, kind, ids, n, sketches, sizes, letters in zip(*(c.to_pylist() for c in b.columns)):
+            if at != shard:
+                shard, machine = at, PassageAutomaton()
+            ids, n, sketches = np.frombuffer(ids, np.int64).tolist(), np.frombuffer(n, np.int32).tolist(), np.frombuffer(sketches, np.uint64).tolist()
+            sizes = np.frombuffer(sizes, np.uint16).astype(np.int64) * CODE
+            ends, text = np.cumsum(sizes), letters.decode("ascii")
+            if kind == 0:
+                for record, words, sketch, e, size in zip(ids, n, sketches, ends.tolist(), sizes.tolist()):
+                    machine.add(record, words, sketch, text[e - size : e])
+            else:
+                out += machine.scan(ids, n, sketches, ends, text, similarity)
         if out:
             cols = np.array(out, np.int64).T
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[2]), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.int32())], names=["train_id", "held_id", "n", "m", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2], pa.int32())], names=["train_id", "held_id", "words"])
 
 
 def coverage(forms: DataFrame, shard_size: int = SHARD, similarity: float = SIMILARITY) -> DataFrame:
-    """(train_id, held_id, covered, n): held-out records that a training record covers far enough to be examined.
-
-    The matched passages are merged into the intervals of the held-out record they cover: `covered` counts its words in
-    them. A pair at the wanted similarity loses at most 2 passages for each word the training record lacks and one for each
-    it has in addition, at most (1 - similarity) * 2 * n together, so that pairs with fewer passages than that leaves, and
-    at least one, need no examination.
-    """
+    """(train_id, held_id, covered): held-out records of which a training record holds passages, and how many words of theirs
+    the matched passages cover. Passages of a record are disjoint, so that merging their intervals adds up their words."""
     spark = forms.sparkSession
-    passages = forms.where("held").agg(F.coalesce(F.sum(F.greatest(F.size("codes") - 1, F.lit(0))), F.lit(0))).first()[0]
-    shards = min(max(12, -(-passages // shard_size)), _SPAN // 64)
-    pieces = forms.mapInArrow(lambda it: _cut(it, shards), "shard int, kind int, id long, n int, m int, at int, piece string")
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards)
-    found = pieces.repartitionByRange(partitions, "shard").sortWithinPartitions("shard", "kind").mapInArrow(_scan, "train_id long, held_id long, n int, m int, place int")
-    bit = lambda low: F.bit_or(F.when((F.col("place") >= low) & (F.col("place") < low + 60), F.expr(f"shiftleft(1L, place - {low})")).otherwise(F.lit(0)))
-    per = found.groupBy("train_id", "held_id").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.count(F.lit(1)).alias("passages"), *[bit(60 * i).alias(f"b{i}") for i in range(3)])
-    words = sum((F.bit_count(F.col(f"b{i}").bitwiseOR(F.shiftleft(f"b{i}", 1))) for i in range(3)), F.lit(0))
-    least = F.greatest(F.lit(1), F.col("m") - 1 - F.floor(2 * (1 - similarity) * F.col("n") + 1e-9))
-    return per.where(F.col("passages") >= least).select("train_id", "held_id", words.alias("covered"), "n")
+    number = forms.where("held").agg(F.coalesce(F.sum(F.floor((1 / similarity - 1) * F.col("n")) + 1), F.lit(0))).first()[0]
+    shards = min(max(6, -(-number // shard_size)), _SPAN // 64)
+    packed = forms.mapInArrow(lambda it: _cut(it, shards, similarity), "shard int, kind int, ids binary, n binary, sketches binary, sizes binary, letters binary")
+    found = packed.repartitionById(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(lambda it: _scan(it, similarity), "train_id long, held_id long, words int")
+    return found.groupBy("train_id", "held_id").agg(F.sum("words").alias("covered"))
 
 
 def cross_split_overlaps(records: DataFrame, id_col: str = "sample_id", text_col: str = "x", split_col: str = "split", train: str = "train", held: tuple[str, ...] = ("val", "test"), similarity: float = SIMILARITY, min_words: int = MIN_WORDS, shard_size: int = SHARD) -> DataFrame:
     """(sample_id_a, sample_id_b): pairs of a training and a held-out record with a Jaccard index of at least `similarity`.
 
-    Texts are brought to a normal form (see normalised); the two-word passages of the held-out forms are sharded by ranges of
-    their first word, and the automaton of each shard scans the pieces of all training forms that lie in its range, so every
+    Texts are brought to a normal form (see normalised); the passages of the held-out forms are sharded by ranges of their
+    first word, and the automaton of each shard scans the pieces of all training forms that lie in its range, so every
     text is scanned once in all whatever the number of shards. Matches are merged into coverage per held-out record, and
-    what is covered far enough is checked exactly. Every pair is found if more than 2 * (1 - similarity) of the held-out
-    record's words are not common; records for which that fails are matched on the forms of all their words as well.
+    what is covered is checked exactly.
+
+    Every similar record holds at least one passage of a record whole (see passages), so that every pair is found.
 
     Equal word sets form a class of which one record is matched; its pairs are given out for all members, as the columns
     demand pairs. Splits compare trimmed and in lower case, other or null splits take no part. Records with a null id or
@@ -180,23 +239,18 @@ def cross_split_overlaps(records: DataFrame, id_col: str = "sample_id", text_col
     split = F.lower(F.trim(split_col))
     texts = texts_of(records, id_col, text_col, F.coalesce(split == train, F.lit(False)).alias("train"), F.coalesce(split.isin(*held), F.lit(False)).alias("held")).where("train or held")
     forms = materialize(normalised(texts, common_words(texts, COMMON), min_words), "forms")
-    members = forms.select("set_hash", "id", "train", "held").distinct()
-
-    def classes(f: DataFrame) -> DataFrame:
-        both = [F.max(c).alias(c) for c in ("train", "held")]
-        return f.groupBy("set_hash").agg(*both, F.min(F.struct("id", "n", "codes")).alias("r")).select("train", "held", "r.*")
-
-    own = materialize(classes(forms), "classes")
-    pairs = coverage(own, shard_size, similarity).select("train_id", "held_id")
-    poor = own.where(F.col("held") & (F.size("codes") - 1 <= 2 * (1 - similarity) * F.col("n"))).select("id")
-    if not poor.isEmpty():
-        whole = materialize(classes(normalised(texts, np.zeros(0, np.uint64), min_words)), "whole")
-        pairs = pairs.unionByName(coverage(whole.join(poor.withColumn("poor", F.lit(True)), "id", "left").withColumn("held", F.coalesce("poor", F.lit(False))).drop("poor"), shard_size, similarity).select("train_id", "held_id")).distinct()
-    links = exact_links(texts, materialize(pairs.select(F.col("train_id").alias("a"), F.col("held_id").alias("b")), "pairs"), similarity)
-    rep = members.groupBy("set_hash").agg(F.min("id").alias("rep"))
-    named = materialize(members.join(rep, "set_hash").select("rep", "id", "train", "held"), "members")
-    in_train = named.where("train").select(F.col("rep").alias("a"), F.col("id").alias("x"))
-    in_held = named.where("held").select(F.col("rep").alias("b"), F.col("id").alias("y"))
-    apart = links.join(in_train, "a").join(in_held, "b").select("x", "y")
-    equal = in_train.join(in_held, F.col("a") == F.col("b")).where("x <> y").select("x", "y")
-    return apart.unionByName(equal).select(F.least("x", "y").alias("sample_id_a"), F.greatest("x", "y").alias("sample_id_b")).distinct()
+    forms = one_version(forms)
+    sides = [F.max(c).alias(c) for c in ("train", "held")]
+    ids = forms.groupBy("set_hash", "id").agg(*sides)
+    classes = ids.groupBy("set_hash").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    copies = materialize(ids.join(classes, "set_hash").select("rep", "id", "train", "held"), "copies")
+    roles = copies.groupBy(F.col("rep").alias("id")).agg(F.max("train").alias("t"), F.max("held").alias("h"))
+    own = forms.join(checked_broadcast(copies.where("id <> rep").select("id").distinct()), "id", "left_anti").join(checked_broadcast(roles), "id", "left")
+    own = own.select("id", F.coalesce("t", "train").alias("train"), F.coalesce("h", "held").alias("held"), "n", "sketch", "codes")
+    pairs = materialize(coverage(own, shard_size, similarity).select(F.col("train_id").alias("a"), F.col("held_id").alias("b")), "pairs")
+    links = materialize(exact_links(texts, pairs, similarity), "links")
+    in_train = copies.where("train").select(F.col("rep").alias("a"), F.col("id").alias("x"))
+    in_held = copies.where("held").select(F.col("rep").alias("b"), F.col("id").alias("y"))
+    apart = links.join(in_train, "a", "left").join(in_held, "b", "left").select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"))
+    equal = in_train.join(in_held, F.col("a") == F.col("b")).select("x", "y")
+    return apart.unionByName(equal).where("x <> y").select(F.least("x", "y").alias("sample_id_a"), F.greatest("x", "y").alias("sample_id_b")).distinct()

@@ -65,8 +65,8 @@ def texts_of(records: DataFrame, id_col: str, text_col: str, *extra: Column) ->
     return records.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *extra).where("id is not null and text is not null")
 
 
-def common_words(texts: DataFrame, share: float = COMMON) -> np.ndarray:
-    """Sorted 64-bit hashes of the words that at least `share` of all records hold, counted over all of them.
+def common_words(texts: DataFrame, share: float = COMMON) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, shares), sorted by hash: the words that at least `share` of all records hold, counted over all of them.
 
     There are at most (mean distinct words / share) such words whatever the size, so the driver may hold them.
     """
@@ -85,8 +85,10 @@ def common_words(texts: DataFrame, share: float = COMMON) -> np.ndarray:
 
     counted = materialize(texts.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     total = counted.where("word is null").select(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    held = counted.where((F.col("n") >= max(2.0, share * total)) & F.col("word").isNotNull()).select("word").toPandas()["word"].to_numpy(np.int64)
-    return np.sort(held.view(np.uint64))
+    held = counted.where((F.col("n") >= max(2.0, share * total)) & F.col("word").isNotNull()).select("word", "n").toPandas()
+    hashes = held["word"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], held["n"].to_numpy(float)[order] / max(total, 1)
 
 
 def is_common(h: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -107,6 +109,15 @@ def set_hash(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def one_version(prints: DataFrame) -> DataFrame:
+    """`prints` (id, set_hash, ..) with one set for each id: where rows of an id differ, the set with the smallest hash counts."""
+    ends = prints.groupBy("id").agg(F.min("set_hash").alias("keep"), F.max("set_hash").alias("last"))
+    several = materialize(ends.where("keep <> last").select("id", "keep"), "versions")
+    if several.isEmpty():
+        return prints
+    return prints.join(checked_broadcast(several), "id", "left").where("keep is null or keep = set_hash").drop("keep")
+
+
 def word_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, words): the sorted distinct word hashes of the records whose id is in `wanted` (id)."""
 
@@ -115,9 +126,9 @@ def word_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
         for b in batches:
             h, sizes = hasher(b.column(1).to_pylist())
             arr = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(h.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), arr], names=["id", "words"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(set_hash(h, sizes)), arr], names=["id", "set_hash", "words"])
 
-    return texts.join(checked_broadcast(wanted), "id", "left_semi").select("id", "text").mapInArrow(hashed, "id long, words array<long>").dropDuplicates(["id"])
+    return texts.join(checked_broadcast(wanted), "id", "left_semi").select("id", "text").mapInArrow(hashed, "id long, set_hash long, words array<long>").groupBy("id").agg(F.min_by("words", "set_hash").alias("words"))
 
 
 def exact_links(texts: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
