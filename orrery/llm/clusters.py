@@ -264,11 +264,12 @@ def similarity_clusters(valid: DataFrame, sample: int = SAMPLE) -> DataFrame:
     has LEAST or more members with a cosine of INNER or more to their mean, and no other vector of the space reaches OUTER.
 
     cluster_id is the smallest vec_id. `cos` ranks the members by internal affinity: the sum of a member's cosines to all
-    members is in proportion to its cosine to their mean. Vectors of no cluster have no row. Vectors are never shuffled; the anchors and means of SPACES spaces are broadcast at a time. Empty in,
+    members is in proportion to its cosine to their mean. Vectors of no cluster have no row. Vectors are never shuffled but written once to the
+    shared folder; the anchors and means of SPACES spaces are broadcast at a time. Empty in,
     empty out; nulls and invalid vectors: see valid_vectors.
     """
     spark = valid.sparkSession
-    vectors = valid.select("space_id", "vec_id", "vector")
+    vectors = materialize(valid.select("space_id", "vec_id", "vector"), "vectors")  # read in every round
     spaces = [r.space_id for r in vectors.select("space_id").distinct().orderBy("space_id").toLocalIterator()]
     if not spaces:
         return spark.createDataFrame([], "space_id string, cluster_id long, vec_id long, cos double")
