@@ -14,8 +14,8 @@ from orrery.llm.wordsets import MIN_WORDS, SIMILARITY, Hasher, common_words, exa
 from orrery.runtime import checked_broadcast, materialize
 
 #: A word is CODE letters of 6 bits; passages per automaton; words of a passage at most; share of records from which a word's
-#: commonness is told apart.
-CODE, SHARD, LONGEST, COMMON = 3, 150_000, 6, 0.02
+#: commonness is told apart; words from which a form is cut evenly.
+CODE, SHARD, LONGEST, COMMON, WIDE = 3, 150_000, 6, 0.02, 512
 _LETTERS = np.frombuffer(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+-", np.uint8)
 _SPAN = 64**CODE
 
@@ -67,10 +67,17 @@ def passages(levels: np.ndarray, sizes: np.ndarray, n: np.ndarray, similarity: f
     A similar record differs in at most (1 / similarity - 1) * n words, and each of them, lacking or additional, can break
     one of several disjoint runs of words. From each form one run more than that is taken, so that some run stands whole in
     every similar record: those that give the fewest chance matches in all, by dynamic programming over the runs of up to
-    LONGEST words (all forms of a chunk at once). A rare word divides the chance by 2**8.5, a common one by 4.
+    LONGEST words (all forms of a chunk at once). A rare word divides the chance by 2**8.5, a common one by 4. Forms of over
+    WIDE words are cut into runs of equal length.
     """
     found = []
     starts = np.cumsum(sizes) - sizes
+    for r in np.flatnonzero(sizes > WIDE).tolist():
+        want = min(int((1 / similarity - 1) * n[r] + 1e-9) + 1, int(sizes[r]))
+        edges = np.arange(want + 1) * int(sizes[r]) // want
+        found.append((np.full(want, r), edges[:-1], np.minimum(edges[1:], edges[:-1] + LONGEST)))
+    narrow = np.flatnonzero(sizes <= WIDE)
+    starts, sizes, n = starts[narrow], sizes[narrow], n[narrow]
     for low in range(0, len(sizes), chunk):
         size = sizes[low : low + chunk]
         rows, width = len(size), int(size.max(initial=0))
@@ -103,7 +110,7 @@ def passages(levels: np.ndarray, sizes: np.ndarray, n: np.ndarray, similarity: f
             row = np.flatnonzero(want > k)
             end = last[k][row, at[row]].astype(np.int64)
             begin = end - length[k][row, end]
-            found.append((low + row, begin, end))
+            found.append((narrow[low + row], begin, end))
             at[row] = begin
     if not found:
         return (np.zeros(0, np.int64),) * 3
@@ -148,7 +155,7 @@ def _pack(flat: np.ndarray, start: np.ndarray, end: np.ndarray, shard: np.ndarra
         o = order[s:e]
         size = end[o] - start[o]
         which = np.repeat(start[o] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        rows.append((int(shard[o[0]]), kind, ids[o].tobytes(), n[o].astype(np.int32).tobytes(), sketch[o].tobytes(), size.astype(np.uint16).tobytes(), spell(flat[which]).tobytes()))
+        rows.append((int(shard[o[0]]), kind, ids[o].tobytes(), n[o].astype(np.int32).tobytes(), sketch[o].tobytes(), size.astype(np.uint32).tobytes(), spell(flat[which]).tobytes()))
     if rows:
         cols = list(zip(*rows))
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[2:]]], names=["shard", "kind", "ids", "n", "sketches", "sizes", "letters"])
@@ -198,7 +205,7 @@ def _scan(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.R
             if at != shard:
                 shard, machine = at, PassageAutomaton()
             ids, n, sketches = np.frombuffer(ids, np.int64).tolist(), np.frombuffer(n, np.int32).tolist(), np.frombuffer(sketches, np.uint64).tolist()
-            sizes = np.frombuffer(sizes, np.uint16).astype(np.int64) * CODE
+            sizes = np.frombuffer(sizes, np.uint32).astype(np.int64) * CODE
             ends, text = np.cumsum(sizes), letters.decode("ascii")
             if kind == 0:
                 for record, words, sketch, e, size in zip(ids, n, sketches, ends.tolist(), sizes.tolist()):
