@@ -39,6 +39,12 @@ def encode(unit: np.ndarray, rotation: np.ndarray) -> np.ndarray:
     return (unit @ rotation >= 0).astype(np.uint8)
 
 
+def pack(bits: np.ndarray) -> np.ndarray:
+    """Bits as 64-bit words, padded with zeros."""
+    packed = np.packbits(bits, axis=1)
+    return np.ascontiguousarray(np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8)))).view(np.uint64)
+
+
 def fit_radius(unit: np.ndarray, rotation: np.ndarray, steps: int = 64) -> np.ndarray:
     """The Hamming radius for each of `steps` + 1 cosines from -1 to 1: mean and SLACK deviations over the sample's pairs of
     about that cosine, and no less than for any greater cosine."""
@@ -90,7 +96,7 @@ class MultiIndex:
 
     def __init__(self, bits: np.ndarray) -> None:
         n, total = bits.shape
-        self.words = np.ascontiguousarray(np.pad(np.packbits(bits, axis=1), ((0, 0), (0, -(-total // 8) % 8)))).view(np.uint64)
+        self.words = pack(bits)
         width = int(np.clip(np.ceil(np.log2(max(n, 2))), 6, 16))
         self.cuts = np.array_split(np.arange(total), -(-total // width))
         self.tables = []
@@ -157,8 +163,7 @@ class _Queries:
         self.rotation = fit_codes(seen)
         self.radius = fit_radius(seen, self.rotation)
         self.bits = encode(unit, self.rotation)
-        packed = np.packbits(self.bits, axis=1)
-        self.words = np.ascontiguousarray(np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8)))).view(np.uint64)
+        self.words = pack(self.bits)
         # the k-th best of the sample is no better than the k-th best of all
         self.bound = np.full(len(queries), -np.inf)
         for i in range(len(queries)):
