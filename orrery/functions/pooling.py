@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.functions.vec import add, col, scale
+from orrery.functions.vec import add, col, let, scale
 
 
 def token_pool(tokens: str | Column, mask: str | Column) -> Column:
@@ -16,16 +16,23 @@ def token_pool(tokens: str | Column, mask: str | Column) -> Column:
     return F.filter(pairs, lambda t: t.isNotNull())
 
 
+def _sum(kept: Column, width: Column) -> Column:
+    return F.aggregate(kept, F.array_repeat(F.lit(0.0), width), lambda s, t: add(s, t))
+
+
+def _width(tokens: str | Column) -> Column:
+    return F.coalesce(F.size(F.get(col(tokens), F.lit(0))), F.lit(0))
+
+
 def sum_pool(tokens: str | Column, mask: str | Column) -> Column:
     """The sum over unmasked tokens; zeros if none is left."""
-    width = F.coalesce(F.size(F.get(col(tokens), F.lit(0))), F.lit(0))
-    return F.aggregate(token_pool(tokens, mask), F.array_repeat(F.lit(0.0), width), lambda s, t: add(s, t))
+    return _sum(token_pool(tokens, mask), _width(tokens))
 
 
 def mean_pool(tokens: str | Column, mask: str | Column) -> Column:
     """The mean over unmasked tokens; NaN if none is left."""
-    n = F.size(token_pool(tokens, mask)).cast("double")
-    return F.when(n > 0, scale(sum_pool(tokens, mask), F.try_divide(F.lit(1.0), n))).otherwise(F.transform(sum_pool(tokens, mask), lambda x: F.lit(float("nan"))))
+    share = lambda kept: F.when(F.size(kept) > 0, F.try_divide(F.lit(1.0), F.size(kept).cast("double"))).otherwise(F.lit(float("nan")))
+    return let(token_pool(tokens, mask), lambda kept: scale(_sum(kept, _width(tokens)), share(kept)))
 
 
 def cls_pool(tokens: str | Column, mask: str | Column | None = None) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import Column
@@ -30,6 +30,11 @@ def as_double(v: str | Column) -> Column:
     return col(v).cast("array<double>")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, where an expression would be computed again for each use or element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total(v: str | Column) -> Column:
     return F.aggregate(col(v), F.lit(0.0), lambda s, x: s + x)
 
@@ -55,8 +60,9 @@ def div(a: str | Column, b: str | Column) -> Column:
 
 
 def scale(v: str | Column, by: float | Column) -> Column:
-    by = F.lit(float(by)) if isinstance(by, (int, float)) else by
-    return F.transform(col(v), lambda x: x * by)
+    if isinstance(by, (int, float)):
+        return F.transform(col(v), lambda x: x * F.lit(float(by)))
+    return let(by, lambda b: F.transform(col(v), lambda x: x * b))
 
 
 def norm(v: str | Column, p: float = 2) -> Column:
@@ -71,8 +77,7 @@ def norm(v: str | Column, p: float = 2) -> Column:
 
 def normalize(v: str | Column, p: float = 2) -> Column:
     """v divided by its p-norm, by EPS_NORM where that is smaller."""
-    n = F.greatest(norm(v, p), F.lit(EPS_NORM))
-    return F.transform(col(v), lambda x: x / n)
+    return let(col(v), lambda w: let(F.greatest(norm(w, p), F.lit(EPS_NORM)), lambda n: F.transform(w, lambda x: x / n)))
 
 
 def l2_squared(a: str | Column, b: str | Column) -> Column:
@@ -94,12 +99,12 @@ def angular(a: str | Column, b: str | Column) -> Column:
 
 def matvec(v: str | Column, matrix: np.ndarray) -> Column:
     """The row vector v times a small matrix (rows: v's dimensions)."""
-    return F.transform(lit(np.asarray(matrix, float).T), lambda r: dot(v, r))
+    return let(col(v), lambda w: F.transform(lit(np.asarray(matrix, float).T), lambda r: dot(w, r)))
 
 
 def permute(v: str | Column, permutation: Sequence[int]) -> Column:
     """out[j] = v[permutation[j]]."""
-    return F.transform(F.array(*[F.lit(int(i)) for i in permutation]), lambda i: F.get(col(v), i))
+    return let(col(v), lambda w: F.transform(F.array(*[F.lit(int(i)) for i in permutation]), lambda i: F.get(w, i)))
 
 
 def pad(v: str | Column, width: int) -> Column:

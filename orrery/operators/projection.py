@@ -33,7 +33,7 @@ def projection_fn(name: str) -> Callable[[Projection], Projection]:
 
 
 def _each(v: Column, anchors: np.ndarray, relation: Callable[[Column, Column], Column]) -> Column:
-    return F.transform(vec.lit(anchors), lambda a: relation(v, a))
+    return vec.let(v, lambda w: F.transform(vec.lit(anchors), lambda a: relation(w, a)))
 
 
 def _unit(anchors: np.ndarray) -> np.ndarray:
