@@ -17,7 +17,7 @@ from orrery.llm.proportional import proportional_sample
 from orrery.llm.spans import shared_amounts, shared_spans
 from orrery.llm.subset import varied_subset
 from orrery.llm.vectors import valid_vectors
-from orrery.runtime import table
+from orrery.runtime import materialize, table
 
 
 def p1_varied_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,19 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_split_overlaps(table(spark, sf_dir, "samples"))
 
 
+def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps by the split and source of the held-out record."""
+    records = table(spark, sf_dir, "samples")
+    pairs = materialize(cross_split_overlaps(records), "overlaps")
+    split = F.lower(F.trim("split"))
+    sides = records.select("sample_id", split.alias("split")).where(F.col("split").isin("train", "val", "test")).distinct()
+    both = pairs.unionByName(pairs.select(F.col("sample_id_b").alias("sample_id_a"), F.col("sample_id_a").alias("sample_id_b")))
+    held = both.join(sides, both["sample_id_a"] == sides["sample_id"]).where("split <> 'train'").select(F.col("sample_id_a").alias("held_id"), F.col("sample_id_b").alias("train_id"), "split")
+    found = held.join(sides.where("split = 'train'").select(F.col("sample_id").alias("train_id")), "train_id").distinct()
+    source = records.groupBy(F.col("sample_id").alias("held_id")).agg(F.min("source").alias("source"))
+    return found.join(source, "held_id").groupBy("split", "source").agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("held_id").alias("held_records"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(table(spark, sf_dir, "samples"))
 
@@ -69,6 +82,13 @@ def p6_neighbours(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     return found.select("query_id", "rank_no", "nbr_offset", F.when(F.col("metric") == "l2", -F.col("score")).otherwise(F.col("score")).alias("distance"))
 
 
+def p6_missed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours that the earlier run in search_results did not give."""
+    valid = valid_vectors(table(spark, sf_dir, "space_vectors"), table(spark, sf_dir, "spaces"))
+    found = nearest(valid, table(spark, sf_dir, "search_queries")).join(valid.select("vec_id", F.col("vec_offset").alias("nbr_offset")), "vec_id")
+    return found.join(table(spark, sf_dir, "search_results"), ["query_id", "nbr_offset"], "left_anti").select("query_id", "vec_id")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id").distinct()
 

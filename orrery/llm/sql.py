@@ -95,3 +95,36 @@ scored as (
   from search_queries q join valid a on a.vec_id = q.vec_id and a.space_id = q.space_id join valid b on b.space_id = a.space_id and b.vec_id <> a.vec_id),
 ranked as (select query_id, vec_id, k, row_number() over (partition by query_id order by score desc, vec_id) as n from scored)
 select query_id, vec_id from ranked where n <= k"""
+
+ORACLES["p6_missed"] = ORACLES["p6_found"].replace("select query_id, vec_id from ranked where n <= k", """, truth as (select r.query_id, r.vec_id, v.vec_offset from ranked r join valid v using (vec_id) where n <= k),
+had as (select distinct query_id, nbr_offset from search_results)
+select t.query_id, t.vec_id from truth t left join had h on h.query_id = t.query_id and h.nbr_offset = t.vec_offset where h.query_id is null""")
+
+ORACLES["p2_found"] = f"""
+with {_VALID},
+u as (select vec_id, space_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) as v from valid),
+near as (select a.vec_id as a, b.vec_id as b from u a join u b using (space_id) where list_inner_product(a.v, b.v) >= 0.6::double),
+l1 as (select a, min(b) as l from near group by a),
+l2 as (select n.a, min(l) as l from near n join l1 on l1.a = n.b group by n.a),
+l3 as (select n.a, min(l) as l from near n join l2 on l2.a = n.b group by n.a),
+l4 as (select n.a, min(l) as l from near n join l3 on l3.a = n.b group by n.a),
+parts as (select l, i, sum(v[i + 1]) as s from (select l, v, unnest(range(0, len(v))) as i from u join l4 on l4.a = u.vec_id) group by l, i),
+mean as (select l, list(s order by i) as m from parts group by l),
+cos as (select m.l, u.vec_id, list_inner_product(u.v, m.m) / sqrt(list_inner_product(m.m, m.m)) as c from mean m join u on u.space_id = (select space_id from u w where w.vec_id = m.l) where list_inner_product(u.v, m.m) / sqrt(list_inner_product(m.m, m.m)) >= 0.5::double),
+good as (select l from cos group by l having count(*) >= 5 and min(c) >= 0.75::double)
+select distinct min(vec_id) over (partition by l) as cluster_id, vec_id from cos where l in (select l from good)"""
+
+ORACLES["p3_counts"] = ORACLES["p3_found"].replace("sides as (select distinct sample_id, lower(trim(split)) = 'train' as train from samples where", "sides as (select distinct sample_id, lower(trim(split)) = 'train' as train, lower(trim(split)) as split from samples where").replace("select distinct l.a as sample_id_a, l.b as sample_id_b from links", """, src as (select sample_id, min(source) as source from samples group by 1), found as (
+select distinct case when x.train then l.b else l.a end as held_id, case when x.train then l.a else l.b end as train_id, case when x.train then y.split else x.split end as split from links""").replace("where x.train <> y.train", """where x.train <> y.train)
+select f.split, s.source, count(*) as pairs, count(distinct held_id) as held_records from found f join src s on s.sample_id = f.held_id group by 1, 2""")
+
+#: Tokens are counted as words and signs: any usual tokenizer gives the same rows.
+ORACLES["p8_found"] = """
+with sizes as (select source, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[0-9]|[^A-Za-z0-9\\s]')) as n from documents where source is not null),
+per as (select source, sum(n) as n from sizes group by 1)
+select m.mix_id, m.source from mix_targets m left join per using (source) where m.max_repeats * coalesce(per.n, 0) < m.weight * m.budget_share * (select sum(n) from per)"""
+
+ORACLES["p9_found"] = """
+with w as (select doc_id, md5(substring(text, i::int, 300)) as h from (select doc_id, text, unnest(range(1, len(text) - 298)) as i from documents where len(text) >= 300)),
+g as (select h, list(distinct doc_id) as ids from w group by h having count(distinct doc_id) > 1)
+select distinct a as doc_id_a, b as doc_id_b from (select a, unnest(ids) as b from (select ids, unnest(ids) as a from g)) where a < b"""
