@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,13 +73,12 @@ def mixture(sizes: DataFrame, targets: DataFrame, seed: int = 5) -> tuple[DataFr
     docs = sizes.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.struct("n_tokens", "source")).alias("r")).select("doc_id", "r.source", "r.n_tokens").withColumn("at", hash_order(seed, "doc_id"))
     docs = materialize(docs, "sizes")
     per = materialize(docs.groupBy("source").agg(F.sum("n_tokens").alias("source_tokens"), F.count(F.lit(1)).alias("n_docs")), "sources")
-    total = per.agg(F.coalesce(F.sum("source_tokens"), F.lit(0)).alias("all_tokens"))
+    total = per.agg(F.coalesce(F.sum("source_tokens"), F.lit(0))).first()[0]
     asked = targets.where("mix_id is not null and source is not null").groupBy("mix_id", "source").agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("weight", "max_repeats", "budget_share")])
     plan = (
         asked.join(per, "source", "left")
-        .crossJoin(F.broadcast(total))  # one row
         .withColumn("source_tokens", F.coalesce("source_tokens", F.lit(0)))
-        .withColumn("target_tokens", F.col("weight") * F.col("budget_share") * F.col("all_tokens"))
+        .withColumn("target_tokens", F.col("weight") * F.col("budget_share") * F.lit(total))
         .withColumn("capped", F.col("max_repeats") * F.col("source_tokens") < F.col("target_tokens"))
         .withColumn("expected", F.least(F.col("max_repeats").cast("double"), F.coalesce(F.try_divide("target_tokens", "source_tokens"), F.lit(0.0))))
         .withColumn("offset", F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "mix_id", "source")), 1, 12), 16, 10).cast("double") / float(16**12))

@@ -11,11 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.llm.vectors import sample_rows
 from orrery.runtime import checked_broadcast, materialize
 
 #: Rows per space that the codes are fitted on, most bits of a code, standard deviations of slack of a radius, queries per
 #: broadcast, spaces per broadcast, rows indexed at once in a task.
-SAMPLE, BITS, SLACK, BLOCK, SPACES, ROWS = 2048, 128, 4.0, 8192, 64, 262_144
+SAMPLE, BITS, SLACK, BLOCK, SPACES, ROWS = 2048, 128, 4.0, 8192, 16, 262_144
 METRICS = ("cosine", "l2", "inner_product")
 
 
@@ -230,14 +231,11 @@ def nearest(valid: DataFrame, queries: DataFrame, sample: int = SAMPLE, block: i
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "space_id", F.col("vec_id").cast("long").alias("vec_id"), F.col("k").cast("int").alias("k"), F.lower(F.trim("metric")).alias("metric"))
     asked = asked.where(F.col("metric").isin(*METRICS) & (F.col("k") > 0)).dropna().groupBy("query_id").agg(F.min(F.struct("space_id", "vec_id", "k", "metric")).alias("r")).select("query_id", "r.*")
     asked = materialize(valid.select("space_id", "vec_id", "vector").join(checked_broadcast(materialize(asked, "asked")), ["space_id", "vec_id"]), "queries")
-    counts = valid.groupBy("space_id").count().withColumnRenamed("count", "rows")
-    draw = F.pmod(F.xxhash64("vec_id", F.lit(11)), F.lit(1 << 20))
-    rare = valid.select("space_id", "vec_id", "vector").join(checked_broadcast(materialize(counts, "counts")), "space_id").withColumn("draw", draw).where(F.col("draw") * F.col("rows") <= F.lit(1.2 * sample + 300) * (1 << 20))
-    sampled = rare.withColumn("n", F.row_number().over(Window.partitionBy("space_id").orderBy("draw", "vec_id"))).where(F.col("n") <= sample).select("space_id", "vec_id", "vector")
+    sampled = sample_rows(valid, sample)
     sampled = materialize(sampled.join(asked.select("space_id").distinct(), "space_id", "left_semi"), "sample")
 
-    parts, at, parts_at = [], None, asked.groupBy("space_id").count().orderBy("space_id")
-    plan = [(r.space_id, r["count"]) for r in parts_at.toLocalIterator()]
+    parts = []
+    plan = [(r.space_id, r["count"]) for r in asked.groupBy("space_id").count().orderBy("space_id").toLocalIterator()]
     groups: list[list[str]] = []
     size = 0
     for space, n in plan:

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions.ranking import hash_order, spread_rank
@@ -72,11 +72,10 @@ def allocate(counts: DataFrame, requests: DataFrame) -> DataFrame:
     bounded by its number of categories, not by rows.
     """
     asked = requests.where(F.col("target_id").isNotNull() & F.col("y").isNotNull()).groupBy("target_id", "y").agg(*[F.max(c).alias(c) for c in ("target_share", "pool_frac", "min_rows")])
-    total = counts.agg(F.coalesce(F.sum("available"), F.lit(0)).alias("pool_rows"))
+    total = counts.agg(F.coalesce(F.sum("available"), F.lit(0))).first()[0]
     full = (
         asked.join(counts, "y", "left")
-        .crossJoin(F.broadcast(total))  # one row
-        .select("target_id", "y", F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("pool_frac", F.lit(0.0)).alias("pool_frac"), F.coalesce("min_rows", F.lit(0)).cast("long").alias("min_rows"), F.coalesce("available", F.lit(0)).cast("long").alias("available"), F.col("pool_rows").cast("long").alias("pool_rows"))
+        .select("target_id", "y", F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("pool_frac", F.lit(0.0)).alias("pool_frac"), F.coalesce("min_rows", F.lit(0)).cast("long").alias("min_rows"), F.coalesce("available", F.lit(0)).cast("long").alias("available"), F.lit(total).cast("long").alias("pool_rows"))
         .withColumn("wanted", F.col("target_share") * F.col("pool_frac") * F.col("pool_rows"))
     )
 

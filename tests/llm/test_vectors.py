@@ -2,7 +2,6 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from orrery.llm import clusters, neighbours, proportional, subset
 from orrery.llm.vectors import sample_rows, valid_vectors
