@@ -70,7 +70,7 @@ class DiskCatalog:
         return len(self._items())
 
     def frame(self) -> DataFrame:
-        """(item_id, properties) of all items, read by tasks; ids are checked against the hashes."""
+        """(item_id, properties) of all items, read by tasks."""
         if not len(children(self.spark, self.root)):
             return self.spark.createDataFrame([], "item_id string, properties string")
         rows = self.spark.read.text(f"{self.root}/*/properties.json", wholetext=True)
