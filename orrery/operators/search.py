@@ -249,6 +249,12 @@ def knn_sql(index: DataFrame, queries: DataFrame, k: int, metric: str, digits: i
     return ranked.where(F.col("rank") <= k).select("query_id", (F.col("rank") - 1).cast("int").alias("rank"), "offset", "distance")
 
 
+def per_query(found: DataFrame) -> DataFrame:
+    """(query_id, offsets, keys, distances): a search result as one row per query, in rank order (as many as k, or in range)."""
+    rows = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "offset", "key", "distance"))).alias("r"))
+    return rows.select("query_id", F.col("r.offset").alias("offsets"), F.col("r.key").alias("keys"), F.col("r.distance").alias("distances"))
+
+
 def dense_offsets(df: DataFrame, order: str, start: int = 0, slices: int = 64) -> DataFrame:
     """Add `offset`: start, start + 1, .. in the order of a column (nulls first), without one task for all rows.
 

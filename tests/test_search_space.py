@@ -31,6 +31,11 @@ def test_sql_and_kernel_agree(spark, frame):
     assert sorted(one) == sorted(two)
 
 
+def test_results_per_query(frame):
+    got = search.per_query(search.SearchIndex(frame(X, key_prefix="k"), "l2").search_knn(3, query_offsets=[50], digits=9)).first()
+    assert got.offsets == brute("l2", X[50], 3) and got.keys[0] == "k50" and got.distances[0] == 0
+
+
 def test_blocks_of_queries(frame, monkeypatch):
     monkeypatch.setattr(search, "BLOCK", 7)
     got = search.SearchIndex(frame(X), "l2").search_knn(1, query_offsets=list(range(20)), digits=9).collect()
