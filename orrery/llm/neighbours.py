@@ -16,7 +16,7 @@ from orrery.runtime import checked_broadcast, materialize
 
 #: Rows per space that the codes are fitted on, most bits of a code, standard deviations of slack of a radius, queries per
 #: broadcast, spaces per broadcast, rows indexed at once in a task.
-SAMPLE, BITS, SLACK, BLOCK, SPACES, ROWS = 2048, 128, 4.0, 8192, 16, 262_144
+SAMPLE, BITS, SLACK, BLOCK, SPACES, ROWS = 2048, 128, 5.0, 8192, 16, 262_144
 METRICS = ("cosine", "l2", "inner_product")
 
 
