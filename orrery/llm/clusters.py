@@ -16,11 +16,13 @@ from orrery.llm.vectors import sample_rows
 from orrery.runtime import checked_broadcast, materialize
 
 #: Rows per space that anchors are taken from, cosine from which two anchors are one, least cosine of an affinity, anchors a row
-#: is tied to, vectors iterated and their steps, hash tables and most bits for rows without an anchor, spaces per broadcast.
-SAMPLE, SAME, NEAR, TIES, VECTORS, STEPS, TABLES, SPACES = 2048, 0.85, 0.5, 3, 6, 16, 32, 16
+#: is tied to, vectors iterated and their steps, spaces per broadcast.
+SAMPLE, SAME, NEAR, TIES, VECTORS, STEPS, SPACES = 2048, 0.85, 0.5, 3, 6, 16, 16
+#: Rows without an anchor: least cosine of a link, links a row has per block, rows per block. In a cluster the mean cosine of a
+#: member to the others is at least (0.75 * 0.75 * n - 1) / (n - 1), 0.453 for the smallest.
+LINK, LINKS, BLOCK = 0.45, 8, 8192
 #: A cluster: least rows, least cosine of a member to the mean direction, cosine that no other vector reaches.
 LEAST, INNER, OUTER = 5, 0.75, 0.5
-_WORDS = 4  # 64-bit words of a sketch
 
 
 def _units(column: pa.Array) -> np.ndarray:
@@ -117,41 +119,46 @@ def _rows(space, a, b, w, unit) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(space, pa.string()), pa.array(a, pa.int64()), pa.nulls(n, pa.int64()) if b is None else pa.array(b, pa.int64()), pa.nulls(n, pa.float64()) if w is None else pa.array(w, pa.float64()), vector], names=["space_id", "a", "b", "w", "vector"])
 
 
-def lone_links(rows: DataFrame) -> DataFrame:
+def lone_links(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """(a, b, w): affinities among rows without an anchor (space_id, vec_id, vector of length 1).
 
-    In each of TABLES tables rows of a space with one code of random hyperplanes meet in a bucket and are linked with the
-    bucket's first row, not with each other; links of a cosine over NEAR stay. A group of m rows meets in m - 1 ways per
-    table, and only some must be found, for the rest come by the mean of the group.
+    Every such row meets every other of its space: blocks of about `block` rows are broadcast one after the other and multiplied
+    with all rows. Pairs of a cosine of LINK or more are linked, of each row and block the LINKS best. In a group that is a
+    cluster each member has such a partner, so none is lost whatever the size; the cost grows with the square of these rows.
     """
-    count = rows.count()
-    bits = int(np.clip(np.ceil(np.log2(max(count, 2))), 6, 24))
-
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
-        for b in batches:
-            for space, ids, unit in _by_space(b):
-                d = unit.shape[1]
-                if d not in planes:
-                    planes[d] = np.random.default_rng(23).standard_normal((d, TABLES * bits)).astype(np.float32)
-                sign = (unit @ planes[d] >= 0).reshape(len(unit), TABLES, bits)
-                value = sign @ (1 << np.arange(bits))
-                sketch = np.packbits(sign.reshape(len(unit), -1)[:, : 64 * _WORDS].astype(np.uint8) if TABLES * bits >= 64 * _WORDS else np.pad(sign.reshape(len(unit), -1), ((0, 0), (0, 64 * _WORDS - TABLES * bits))).astype(np.uint8), axis=1).view(np.int64)
-                n = len(unit)
-                cols = [pa.array(np.tile(np.arange(TABLES, dtype=np.int32), n)), pa.array(value.ravel()), pa.array(np.repeat(ids, TABLES))]
-                yield pa.RecordBatch.from_arrays([pa.array([space] * (n * TABLES)), *cols, *[pa.array(np.repeat(np.ascontiguousarray(sketch[:, i]), TABLES)) for i in range(_WORDS)]], names=["space_id", "table", "code", "id", *[f"s{i}" for i in range(_WORDS)]])
-
-    coded = rows.select("space_id", "vec_id", "vector").mapInArrow(code, "space_id string, table int, code long, id long, " + ", ".join(f"s{i} long" for i in range(_WORDS)))
-    bucket = Window.partitionBy("space_id", "table", "code").orderBy("id")
-    head = coded.withColumn("p", F.first(F.struct("id", *[f"s{i}" for i in range(_WORDS)])).over(bucket)).where("id <> p.id")
-    far = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"p.s{i}"))) for i in range(_WORDS)), F.lit(0))
-    seen = min(64 * _WORDS, TABLES * bits)
-    close = head.where(far <= F.lit(int(seen / 3 + 3 * np.sqrt(seen * 2 / 9)))).select(F.col("p.id").alias("a"), F.col("id").alias("b")).distinct()
-    close = materialize(close, "close")
-    left = rows.select(F.col("vec_id").alias("a"), F.col("vector").alias("va"))
-    right = rows.select(F.col("vec_id").alias("b"), F.col("vector").alias("vb"))
-    cos = F.aggregate(F.zip_with("va", "vb", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    return close.join(left, "a").join(right, "b").select("a", "b", ((cos - NEAR) / (1 - NEAR)).alias("w")).where("w > 0")
+    spark, kinds = rows.sparkSession, "a long, b long, w double"
+    blocks = -(-rows.count() // block)
+    parts = [spark.createDataFrame([], kinds)]
+    for i in range(blocks):
+        own = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks)) == i)
+        shared = spark.sparkContext.broadcast(_stacked(own.select("space_id", "vec_id", F.col("vector").alias("unit")).toPandas()))
+
+        def meet(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for space, ids, unit in _by_space(b):
+                    if space not in shared.value:
+                        continue
+                    names, other = shared.value[space]
+                    for s in range(0, len(unit), 1024):
+                        cos = unit[s : s + 1024] @ other.T
+                        near = cos >= LINK
+                        many = np.flatnonzero(near.sum(1) > LINKS + 1)  # a row is near itself
+                        if len(many):
+                            cut = near[many]
+                            np.put_along_axis(cut, np.argpartition(-cos[many], LINKS, axis=1)[:, LINKS + 1 :], False, 1)
+                            near[many] = cut
+                        row, col = np.nonzero(near)
+                        x, y = ids[s + row], names[col]
+                        two = x != y
+                        w = (cos[row, col].astype(np.float64) - LINK) / (1 - LINK) + 1e-3
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[two]), pa.array(np.maximum(x, y)[two]), pa.array(w[two])], names=["a", "b", "w"])
+
+        parts.append(materialize(rows.select("space_id", "vec_id", "vector").mapInArrow(meet, kinds), "links"))
+        shared.unpersist()
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("a", "b").agg(F.max("w").alias("w"))
 
 
 def embed(edges: DataFrame, steps: int = STEPS) -> DataFrame:
@@ -257,7 +264,7 @@ def similarity_clusters(valid: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(space_id, cluster_id, vec_id, cos): the clusters of the vectors that valid_vectors gives.
 
     Power-iteration spectral clustering on sparse affinities. Anchors are taken from `sample` rows per space, every row is
-    tied to its nearest anchors (see affinities), rows far from all anchors are linked among themselves by hashing (see
+    tied to its nearest anchors (see affinities), rows far from all anchors are linked among themselves in exact blocks (see
     lone_links), so that clusters too small for the sample are found as well. Several random vectors are iterated over the
     normalised affinities as a table, and the embedding of the anchors is clustered by k-means. From the mean direction of
     each k-means cluster the members are then gathered from all rows, twice, and the definition is checked exactly: a cluster

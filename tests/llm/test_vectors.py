@@ -139,6 +139,30 @@ def test_clusters_equal_brute_force(spark, sample):
     assert big.typical[0] == max(own, key=lambda v: (u[own] @ u[v]).sum()) and len(big.typical) == 3
 
 
+def loose(rng, n, d, spread=0.8):
+    """n unit vectors with a cosine of 0.75 or more to their mean, not much more."""
+    c = rng.standard_normal(d)
+    while True:
+        x = c / np.linalg.norm(c) + rng.standard_normal((n, d)) * spread / np.sqrt(d)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        m = x.sum(0)
+        if (x @ m).min() >= 0.75 * np.linalg.norm(m):
+            return x
+
+
+@pytest.mark.parametrize("block", [clusters.BLOCK, 2000])
+def test_lone_rows_of_a_cluster_are_linked(spark, block):
+    """Loose groups of five among thousands of loners: each member has a link inside its group, as brute force has."""
+    rng = np.random.default_rng(5)
+    x = np.vstack([*[loose(rng, 5, 64) for _ in range(40)], rng.standard_normal((6000, 64))]).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame([("s", i, v.tolist()) for i, v in enumerate(x)], "space_id string, vec_id long, vector array<float>")
+    got = {(r.a, r.b) for r in clusters.lone_links(rows, block).collect()}
+    cos = np.triu(x @ x.T, 1)
+    assert got == {(int(a), int(b)) for a, b in zip(*np.nonzero(cos >= clusters.LINK))}
+    assert {v for a, b in got if a // 5 == b // 5 and b < 200 for v in (a, b)} == set(range(200))
+
+
 def test_clusters_of_nothing(spark):
     none = valid_vectors(vectors(spark, dirty(4)), spaces(spark, {"s": 4}))
     assert clusters.similarity_clusters(none).count() == 0
