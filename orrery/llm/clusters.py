@@ -21,6 +21,9 @@ SAMPLE, SAME, NEAR, TIES, VECTORS, STEPS, SPACES = 2048, 0.85, 0.5, 3, 6, 16, 16
 #: Rows without an anchor: least cosine of a link, links a row has per block, rows per block. In a cluster the mean cosine of a
 #: member to the others is at least (0.75 * 0.75 * n - 1) / (n - 1), 0.453 for the smallest.
 LINK, LINKS, BLOCK = 0.45, 8, 8192
+#: Least cosines that the gathering of a label starts from, each by itself; how much they rise a round, and to where: between the
+#: members of a cluster and all other vectors. Most rounds; cosine from which two mean directions are one.
+STARTS, RISE, MIDDLE, ROUNDS, EQUAL = (0.35, 0.45, 0.55), 0.1, 0.625, 20, 1 - 1e-6
 #: A cluster: least rows, least cosine of a member to the mean direction, cosine that no other vector reaches.
 LEAST, INNER, OUTER = 5, 0.75, 0.5
 
@@ -213,30 +216,69 @@ def _merge(means: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["space_id", "label", "unit", "n"])
 
 
-def _mean_directions(sums: DataFrame, least: float) -> DataFrame:
-    """(space_id, label, unit, n) of (space_id, label, total, n) rows summed by label; labels of under `least` rows are dropped."""
-    summed = sums.groupBy("space_id", "label").agg(Summarizer.sum(array_to_vector("total")).alias("t"), F.sum("n").alias("n")).where(F.col("n") >= least)
+def _mean_directions(sums: DataFrame) -> DataFrame:
+    """(space_id, label, unit, n) of (space_id, label, total, n) rows summed by label."""
+    summed = sums.groupBy("space_id", "label").agg(Summarizer.sum(array_to_vector("total")).alias("t"), F.sum("n").alias("n"))
     return summed.select("space_id", "label", vector_to_array("t").alias("total"), "n").groupBy("space_id").applyInPandas(_merge, "space_id string, label long, unit array<double>, n double")
 
 
-def _recruit(vectors: DataFrame, means: DataFrame, spaces: list[str], inner: float, outer: float | None) -> DataFrame:
-    """With `outer` null: (space_id, label, total, n), the sums of the vectors with a cosine of `inner` or more to each mean.
+def _distinct(means: pd.DataFrame) -> pd.DataFrame:
+    """Of gathered labels of a space with one mean direction, the one with the largest threshold, then the smallest label.
+    Different directions stay apart, for they may still come to different clusters."""
+    means = means.sort_values(["least", "label"], ascending=[False, True], ignore_index=True)
+    unit = np.array(means["total"].tolist(), np.float64)
+    unit /= np.maximum(np.linalg.norm(unit, axis=1), 1e-300)[:, None]
+    free, keep = np.ones(len(means), bool), []
+    for i in range(len(means)):
+        if free[i]:
+            keep.append(i)
+            free &= unit @ unit[i] < EQUAL
+    return pd.DataFrame({"space_id": means["space_id"].iloc[keep], "label": means["label"].iloc[keep], "unit": list(unit[keep]), "n": means["n"].iloc[keep], "least": means["least"].iloc[keep]})
+
+
+def gather(vectors: DataFrame, means: DataFrame, spaces: list[str]) -> DataFrame:
+    """(space_id, label, unit, n, least): the stable mean directions that labels (space_id, label, unit) come to.
+
+    A label takes the mean of all vectors within a cosine of its direction, again and again. The cosine rises from each of
+    STARTS to MIDDLE: a low start reaches loose members from a seed that is one of them, a high one keeps strangers out.
+    Labels of any size stay, except such that hold one row alone, as that row has no other to rise with.
+    """
+    kinds = "space_id string, label string, unit array<double>, n double, least double"
+    starts = F.array(*[F.lit(float(x)) for x in STARTS])
+    now = means.select("space_id", F.col("label").cast("string").alias("label"), "unit", F.posexplode(starts).alias("start", "least")).withColumn("label", F.concat_ws(":", "label", "start"))
+    now = materialize(now.select("space_id", "label", "unit", F.lit(0.0).alias("n"), "least"), "means")
+    for step in range(ROUNDS):
+        sums = _recruit(vectors, now, spaces, None).groupBy("space_id", "label").agg(Summarizer.sum(array_to_vector("total")).alias("t"), F.sum("n").alias("n")).where("n > 1")
+        risen = now.select("space_id", "label", F.least(F.col("least") + RISE, F.lit(MIDDLE)).alias("least"))
+        new = sums.join(checked_broadcast(risen), ["space_id", "label"]).select("space_id", "label", vector_to_array("t").alias("total"), "n", "least")
+        new = materialize(new.groupBy("space_id").applyInPandas(_distinct, kinds), "means")
+        if step * RISE + STARTS[0] >= MIDDLE:
+            was = now.select("space_id", "label", F.col("unit").alias("was"))
+            same = F.aggregate(F.zip_with("unit", "was", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+            if new.join(was, ["space_id", "label"]).where(same < 1 - 1e-9).isEmpty():
+                return new
+        now = new
+    return now
+
+
+def _recruit(vectors: DataFrame, means: DataFrame, spaces: list[str], outer: float | None) -> DataFrame:
+    """With `outer` null: (space_id, label, total, n), the sums of the vectors with a cosine of `least` or more to each mean.
     Else (space_id, label, vec_id, cos) of all vectors with a cosine of `outer` or more to a mean."""
     spark = vectors.sparkSession
     parts = []
     for group in _groups(spark, spaces, SPACES):
         frame = means.where(F.col("space_id").isin(group)).toPandas().rename(columns={"label": "vec_id"})
-        shared = spark.sparkContext.broadcast({s: (n, u.astype(np.float64)) for s, (n, u) in _stacked(frame).items()})
+        shared = spark.sparkContext.broadcast({s: (n, u.astype(np.float64), frame["least"].to_numpy()[frame["space_id"] == s]) for s, (n, u) in _stacked(frame).items()})
         own = vectors.where(F.col("space_id").isin(list(frame["space_id"].unique())))
 
         def add(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
             for b in batches:
                 for space, _, unit in _by_space(b):
-                    names, mean = shared.value[space]
+                    names, mean, least = shared.value[space]
                     if space not in sums:
                         sums[space] = (np.zeros_like(mean), np.zeros(len(names)))
-                    in_ = (unit @ mean.T.astype(np.float32) >= inner).astype(np.float32)
+                    in_ = (unit @ mean.T.astype(np.float32) >= least.astype(np.float32)).astype(np.float32)
                     sums[space][0][:] += in_.T @ unit
                     sums[space][1][:] += in_.sum(0)
             for space, (total, n) in sums.items():
@@ -248,12 +290,12 @@ def _recruit(vectors: DataFrame, means: DataFrame, spaces: list[str], inner: flo
         def close(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for space, ids, unit in _by_space(b):
-                    names, mean = shared.value[space]
+                    names, mean, _ = shared.value[space]
                     cos = unit.astype(np.float64) @ mean.T
                     row, label = np.nonzero(cos >= outer)
                     yield pa.RecordBatch.from_arrays([pa.array([space] * len(row), pa.string()), pa.array(names[label]), pa.array(ids[row]), pa.array(cos[row, label])], names=["space_id", "label", "vec_id", "cos"])
 
-        parts.append(own.mapInArrow(add, "space_id string, label long, total array<double>, n double") if outer is None else own.mapInArrow(close, "space_id string, label long, vec_id long, cos double"))
+        parts.append(own.mapInArrow(add, "space_id string, label string, total array<double>, n double") if outer is None else own.mapInArrow(close, "space_id string, label string, vec_id long, cos double"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -267,8 +309,8 @@ def similarity_clusters(valid: DataFrame, sample: int = SAMPLE) -> DataFrame:
     tied to its nearest anchors (see affinities), rows far from all anchors are linked among themselves in exact blocks (see
     lone_links), so that clusters too small for the sample are found as well. Several random vectors are iterated over the
     normalised affinities as a table, and the embedding of the anchors is clustered by k-means. From the mean direction of
-    each k-means cluster the members are then gathered from all rows, twice, and the definition is checked exactly: a cluster
-    has LEAST or more members with a cosine of INNER or more to their mean, and no other vector of the space reaches OUTER.
+    each k-means cluster the members are then gathered from all rows until the mean is stable (see gather), and the
+    definition is checked exactly: a cluster has LEAST or more members with a cosine of INNER or more to their mean, and no other vector of the space reaches OUTER.
 
     cluster_id is the smallest vec_id. `cos` ranks the members by internal affinity: the sum of a member's cosines to all
     members is in proportion to its cosine to their mean. Vectors of no cluster have no row. Vectors are never shuffled but written once to the
@@ -294,13 +336,12 @@ def similarity_clusters(valid: DataFrame, sample: int = SAMPLE) -> DataFrame:
     placed = placed.join(F.broadcast(slices), "space_id").withColumn("slice", F.floor((F.col("e0") + 1) / 2 * F.col("slices")))  # one row per space
     named = placed.groupBy("space_id", "slice").applyInPandas(lambda points: _kmeans(points), "space_id string, a long, mass double, label long")
     weighted = named.join(units.select(F.col("vec_id").alias("a"), "unit"), "a").select("space_id", "label", F.transform("unit", lambda x: x * F.col("mass")).alias("total"), F.col("mass").alias("n"))
-    means = materialize(_mean_directions(weighted, 0), "means")
-    for inner, least in ((0.6, LEAST), ((0.6 + INNER) / 2, LEAST)):
-        means = materialize(_mean_directions(_recruit(vectors, means, spaces, inner, None), least), "means")
-        if means.isEmpty():
-            return spark.createDataFrame([], "space_id string, cluster_id long, vec_id long, cos double")
-    found = materialize(_recruit(vectors, means, spaces, INNER, OUTER), "members")
-    good = found.groupBy("label").agg(F.min("cos").alias("worst"), F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("cluster_id")).where((F.col("worst") >= INNER) & (F.col("n") >= LEAST)).select("label", "cluster_id")
+    means = gather(vectors, materialize(_mean_directions(weighted), "means"), spaces)
+    if means.isEmpty():
+        return spark.createDataFrame([], "space_id string, cluster_id long, vec_id long, cos double")
+    found = materialize(_recruit(vectors, means, spaces, OUTER), "members")
+    good = found.groupBy("space_id", "label").agg(F.min("cos").alias("worst"), F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("cluster_id")).where((F.col("worst") >= INNER) & (F.col("n") >= LEAST))
+    good = good.groupBy("space_id", "cluster_id").agg(F.min(F.struct(-F.col("n"), "label")).alias("r")).select("cluster_id", "r.label")
     return found.join(checked_broadcast(good), "label").select("space_id", "cluster_id", "vec_id", "cos").distinct()
 
 

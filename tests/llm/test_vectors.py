@@ -163,6 +163,20 @@ def test_lone_rows_of_a_cluster_are_linked(spark, block):
     assert {v for a, b in got if a // 5 == b // 5 and b < 200 for v in (a, b)} == set(range(200))
 
 
+def test_gathering_from_one_member(spark):
+    """Loose groups of five are gathered from a seed that is just one of their members."""
+    rng = np.random.default_rng(6)
+    x = np.vstack([*[loose(rng, 5, 96) for _ in range(60)], rng.standard_normal((2000, 96))]).astype(np.float32)
+    want = {i // 5 for c, i in brute_clusters(x.astype(float), np.arange(len(x))) if i < 300}
+    rows = spark.createDataFrame([("s", i, v.tolist()) for i, v in enumerate(x)], "space_id string, vec_id long, vector array<float>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    seeds = spark.createDataFrame([("s", i, unit[i].tolist()) for i in range(0, 300, 5)], "space_id string, label long, unit array<double>")
+    mean = np.array([r.unit for r in clusters.gather(rows, seeds, ["s"]).collect()])
+    cos = unit @ mean.T
+    got = {int(np.flatnonzero(c >= 0.5)[0]) // 5 for c in cos.T if c[c >= 0.5].min() >= 0.75 and (c >= 0.5).sum() == 5}
+    assert want <= got and got == set(range(60))
+
+
 def test_clusters_of_nothing(spark):
     none = valid_vectors(vectors(spark, dirty(4)), spaces(spark, {"s": 4}))
     assert clusters.similarity_clusters(none).count() == 0
