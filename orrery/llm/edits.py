@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.wordsets import MIN_WORDS, SIMILARITY, Hasher, common_words, connected_groups, exact_links, is_common, mix, one_version, segments, set_hash, texts_of
+from orrery.llm.wordsets import MIN_WORDS, SIMILARITY, Hasher, common_words, connected_groups, exact_links, mix, one_version, set_hash, texts_of
 from orrery.runtime import checked_broadcast, materialize
 
-#: Shard keys a record gets, minima of hashes per key, bits of a fingerprint, records beyond which a shard is hot, and the
-#: share of records from which a word is too common for a key.
-KEYS, MINIMA, BITS, HOT, COMMON = 16, 3, 128, 256, 0.02
+#: Bits of a fingerprint, records up to which a shard is searched by a tree, records beyond which it is hot, and the share of
+#: records from which words are ordered by how many hold them (rarer ones come before them, in hash order).
+BITS, TREE, HOT, COUNTED = 128, 16, 2048, 0.0002
 
 
 class BKTree:
@@ -56,29 +56,33 @@ def radius(na: int, nb: int, similarity: float = SIMILARITY) -> int:
     return int((na + nb) * (1 - similarity) / (1 + similarity) + 1e-9)
 
 
-def shard_keys(h: np.ndarray, row: np.ndarray, n_row: np.ndarray, n_keys: int, family: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, keys): for every row with words its `n_keys` keys, each MINIMA min-hashes under hashes of its own."""
-    rows = np.flatnonzero(n_row)
-    keys = np.zeros((len(rows), n_keys), np.int64)
-    starts = (np.cumsum(n_row) - n_row)[rows]
-    for k in range(n_keys if len(rows) else 0):
-        key = np.full(len(rows), 2 * k + family, np.uint64)
-        for j in range(MINIMA):
-            key = mix(key ^ np.minimum.reduceat(mix(h, 1000 + k * MINIMA + j), starts), k)
-        keys[:, k] = key.view(np.int64)
-    return rows, keys
+def prefix_keys(h: np.ndarray, sizes: np.ndarray, order: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, how many each row has): the first words of every row in one order of all words, the rarest first.
 
-
-def fingerprints(texts: DataFrame, common: np.ndarray, min_words: int = MIN_WORDS, n_keys: int = KEYS) -> DataFrame:
+    Sets of sizes na and nb share at least `similarity` * max(na, nb) words, so the first word they share stands among the
+    first n - ceil(similarity * n) + 1 of either.
+    """
+    words, shares = order
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    share = np.zeros(len(h))
+    if len(words):
+        at = np.minimum(np.searchsorted(words, h), len(words) - 1)
+        share = np.where(words[at] == h, shares[at], 0.0)
+    place = np.lexsort((mix(h, 7), share, row))
+    count = np.where(sizes > 0, sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1, 0)
+    rank = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return h[place][rank < count[row]].view(np.int64), count
+
+
+def fingerprints(texts: DataFrame, order: tuple[np.ndarray, np.ndarray], min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(id, set_hash, n, f0, f1, keys) of the records with at least `min_words` distinct words.
 
     f0, f1: a fingerprint of BITS bits, each word flipping the bit it hashes to (an odd sketch), so that the Hamming
-    distance of two fingerprints never exceeds the number of words in which the sets differ. keys: `n_keys` shard keys, each
-    MINIMA min-hashes of the words that are not common; records with under a quarter of such words get
-    keys of all their words in addition.
+    distance of two fingerprints never exceeds the number of words in which the sets differ. keys: see prefix_keys; `order`
+    has the hashes and shares of the words that are counted.
     """
     spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast(common)
+    shared = spark.sparkContext.broadcast(order)
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -87,17 +91,12 @@ def fingerprints(texts: DataFrame, common: np.ndarray, min_words: int = MIN_WORD
             keep = sizes >= min_words
             rows = np.flatnonzero(keep)
             row = np.repeat(np.arange(len(sizes)), sizes)
-            rare = ~is_common(h, shared.value)
-            few = keep & (np.bincount(row[rare], minlength=len(sizes)) * 4 < sizes)
             bit = mix(h, 101) % np.uint64(BITS)
             flips = np.zeros((len(sizes), BITS), np.uint8)
             np.bitwise_xor.at(flips, (row, bit.astype(np.int64)), 1)
             code = np.packbits(flips, axis=1).view(np.int64)
-            keys = [shard_keys(h[rare & keep[row]], *segments(rare, sizes, keep), n_keys, 0), shard_keys(h[few[row]], *segments(np.ones(len(h), bool), sizes, few), n_keys, 1)]
-            owner = np.concatenate([np.repeat(r, n_keys) for r, _ in keys])
-            place = np.argsort(owner, kind="stable")
-            flat = np.concatenate([k.ravel() for _, k in keys])[place]
-            ends = np.cumsum(np.bincount(owner, minlength=len(sizes)))[rows]
+            flat, count = prefix_keys(h[keep[row]], np.where(keep, sizes, 0), shared.value, similarity)
+            ends = np.cumsum(count[rows])
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(rows)), pa.array(set_hash(h, sizes)[rows]), pa.array(sizes[rows], pa.int32()), pa.array(np.ascontiguousarray(code[rows, 0])), pa.array(np.ascontiguousarray(code[rows, 1])), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(flat))],
                 names=["id", "set_hash", "n", "f0", "f1", "keys"],
@@ -107,8 +106,9 @@ def fingerprints(texts: DataFrame, common: np.ndarray, min_words: int = MIN_WORD
 
 
 def _shard_links(batches: Iterator[pa.RecordBatch], similarity: float, hot: int) -> Iterator[pa.RecordBatch]:
-    """Reads rows sorted by key; a BK-tree per key gives (a, b) of all that lie within the radius. Rows of keys with more
-    than `hot` records come out as (a, null, key, n, f0, f1) for another treatment."""
+    """Reads rows sorted by key; gives (a, b) of all in a key that lie within the radius, by a BK-tree or, as a tree of more
+    rows at such a radius leaves little out, by a pass over their fingerprints. Rows of keys with more than `hot` records come
+    out as (a, null, key, n, f0, f1) for another treatment."""
 
     def emit(a, b, key, n, f0, f1):
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(key, pa.int64()), pa.array(n, pa.int32()), pa.array(f0, pa.int64()), pa.array(f1, pa.int64())], names=["a", "b", "key", "n", "f0", "f1"])
@@ -119,8 +119,10 @@ def _shard_links(batches: Iterator[pa.RecordBatch], similarity: float, hot: int)
             if ((x[3] ^ y[3]) & (2**64 - 1)).bit_count() + ((x[4] ^ y[4]) & (2**64 - 1)).bit_count() <= radius(x[2], y[2], similarity):
                 out.append((min(x[1], y[1]), max(x[1], y[1])))
             return
-        tree, seen = BKTree(), {}
-        for _, item, n, f0, f1 in run.tolist():
+        if len(run) > TREE:
+            return scan(run[np.argsort(run[:, 2], kind="stable")], out)
+        tree = BKTree()
+        for _, item, n, f0, f1, _ in run.tolist():
             code = (f0 & (2**64 - 1)) << 64 | (f1 & (2**64 - 1))
             most = radius(n, int(n / similarity) + 1, similarity)
             for other in tree.within(code, most):
@@ -128,10 +130,26 @@ def _shard_links(batches: Iterator[pa.RecordBatch], similarity: float, hot: int)
                     out.append((min(item, other), max(item, other)))
             tree.add(code, item)
 
-    left = np.zeros((0, 5), np.int64)
+    def scan(run: np.ndarray, out: list) -> None:
+        item, n, place = run[:, 1], run[:, 2], run[:, 5]
+        f0, f1 = (np.ascontiguousarray(run[:, c]).view(np.uint64) for c in (3, 4))
+        for s in range(0, len(run), 256):
+            e = min(s + 256, len(run))
+            end = int(np.searchsorted(n, n[e - 1] / similarity + 1e-9, side="right"))
+            far = np.bitwise_count(f0[s:e, None] ^ f0[None, s:end]) + np.bitwise_count(f1[s:e, None] ^ f1[None, s:end])
+            x, y = np.nonzero(far <= min(radius(int(n[e - 1]), int(n[end - 1]), similarity), BITS))
+            x, y, far = x + s, y + s, far[x, y]
+            both = n[x] + n[y]
+            # words shared from this one on, if none before it is; a pair that shares an earlier one is found there
+            most = np.minimum(n[x] - place[x], n[y] - place[y])
+            ok = (x < y) & (far <= both * ((1 - similarity) / (1 + similarity)) + 1e-9) & (most >= both * (similarity / (1 + similarity)) - 1e-9)
+            a, c = item[x[ok]], item[y[ok]]
+            out += zip(np.minimum(a, c).tolist(), np.maximum(a, c).tolist())
+
+    left = np.zeros((0, 6), np.int64)
     open_hot: int | None = None
     for b in batches:
-        now = np.column_stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)])
+        now = np.column_stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(6)])
         rows = np.concatenate([left, now])
         out: list[tuple[int, int]] = []
         passed = []
@@ -191,28 +209,29 @@ def _hot_links(texts: DataFrame, hot: DataFrame, similarity: float, chunk: int)
     return first.unionByName(second)
 
 
-def similar_groups(records: DataFrame, id_col: str = "sample_id", text_col: str = "x", similarity: float = SIMILARITY, min_words: int = MIN_WORDS, n_keys: int = KEYS, hot: int = HOT) -> DataFrame:
+def similar_groups(records: DataFrame, id_col: str = "sample_id", text_col: str = "x", similarity: float = SIMILARITY, min_words: int = MIN_WORDS, hot: int = HOT) -> DataFrame:
     """(group_id, sample_id): records whose word sets have a Jaccard index of at least `similarity` to another's.
 
     Records with equal sets form a class, of which one stands for all; classes are linked when they share a shard key, lie
     within the radius in the shard's BK-tree and pass the exact check; linked classes form one group, named by its smallest
-    id. Fingerprints are exact lower bounds of the difference, so a pair is lost only if it shares none of the `n_keys`
-    keys. Trees are built where a shard's rows are gathered and not broadcast, as they grow with the data; hot shards are
+    id. No pair is lost: fingerprints are exact lower bounds of the difference, and similar sets share one of their rarest
+    words, which are the shard keys. Trees are built where a shard's rows are gathered and not broadcast, as they grow with
+    the data; a shard holds more records as the data grow, where the vocabulary does not; hot shards are
     cut up (_hot_links). Records with a null id or text or fewer than `min_words` distinct words belong to no group, which
     covers empty texts; texts count whole; repeated rows of an id are one record. No rows give no groups.
     """
     texts = texts_of(records, id_col, text_col)
-    prints = materialize(fingerprints(texts, common_words(texts, COMMON)[0], min_words, n_keys), "prints")
+    prints = materialize(fingerprints(texts, common_words(texts, COUNTED), min_words, similarity), "prints")
     prints = one_version(prints)
     members = prints.select("set_hash", "id").distinct()
     classes = prints.groupBy("set_hash").agg(F.min(F.struct("id", "n", "f0", "f1", "keys")).alias("r")).select("r.*")
-    keyed = classes.select(F.explode("keys").alias("key"), "id", "n", "f0", "f1")
+    keyed = classes.select(F.posexplode("keys").alias("place", "key"), "id", "n", "f0", "f1").select("key", "id", "n", "f0", "f1", "place")
     sorted_ = keyed.repartition("key").sortWithinPartitions("key")
     raw = materialize(sorted_.mapInArrow(lambda it: _shard_links(it, similarity, hot), "a long, b long, key long, n int, f0 long, f1 long"), "links")
     links = exact_links(texts, materialize(raw.where("b is not null").select("a", "b").distinct(), "pairs"), similarity)
     crowded = raw.where("b is null").drop("b")
     if not crowded.isEmpty():
-        links = links.unionByName(_hot_links(texts, crowded, similarity, 64 * hot)).distinct()
+        links = links.unionByName(_hot_links(texts, crowded, similarity, 8 * hot)).distinct()
     groups = materialize(connected_groups(links), "groups")
     reps = members.groupBy("set_hash").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"))
     named = reps.join(groups.withColumnRenamed("id", "rep"), "rep", "left").where("size > 1 or group is not null").select("set_hash", F.coalesce("group", "rep").alias("group_id"))

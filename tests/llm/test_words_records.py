@@ -112,6 +112,31 @@ def test_groups_equal_brute_force(spark, seed):
     assert len(got) == len(set(got)) and set(got) == brute_groups(rows)
 
 
+@pytest.mark.parametrize("size,rare,replaced", [(20, 5, 2), (57, 15, 6)])
+def test_edits_among_rare_words(spark, size, rare, replaced):
+    """Pairs just over the threshold that differ in their rare words only, which are a quarter of all."""
+    rng = random.Random(size)
+    common = [f"common{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        w = rng.sample(common, size - rare)
+        own = [f"own{i}x{j}" for j in range(rare)]
+        rows += [(2 * i, "train", " ".join(w + own)), (2 * i + 1, "train", " ".join(w + own[replaced:] + [f"new{i}x{j}" for j in range(replaced)]))]
+    got = {tuple(r) for r in edits.similar_groups(table(spark, rows)).collect()}
+    assert got == brute_groups(rows) and len(got) >= 300
+
+
+@pytest.mark.parametrize("hot", [edits.HOT, 40])
+def test_a_shard_beyond_a_tree(spark, hot):
+    """All records share their rarest words, so that one shard holds them all."""
+    rng = random.Random(8)
+    common = [f"common{i}" for i in range(60)]
+    rows = [(i, "train", " ".join(w)) for i, w in enumerate(rng.sample(common, rng.randrange(8, 30)) for _ in range(300))]
+    rows += [(1000 + i, "val", " ".join(x.split()[1:] + [f"new{i}"] * (i % 2))) for i, (_, _, x) in enumerate(rows) if len(x.split()) > 11]
+    got = {tuple(r) for r in edits.similar_groups(table(spark, rows), hot=hot).collect()}
+    assert got == brute_groups(rows)
+
+
 def test_hot_shards(spark):
     """One group of edited copies holds most rows; two texts hang on it by one link each."""
     rng = random.Random(3)
