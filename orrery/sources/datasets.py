@@ -87,9 +87,13 @@ class Dataset:
         return Dataset(meta["name"], spark.read.parquet(f"{path}/rows"), features, meta["perc"], meta["id_column"], meta["properties"])
 
 
-def class_names(df: DataFrame, label: str, split: str = "train") -> list[str]:
-    """Distinct labels of a split in order: what a class label column is numbered by."""
-    return [r[0] for r in df.where(F.col("split") == split).select(F.col(label).cast("string")).distinct().orderBy(label).limit(10_000).collect() if r[0] is not None]
+def class_names(df: DataFrame, label: str, split: str = "train", limit: int = 10_000) -> list[str]:
+    """Distinct labels of a split in order: what a class label column is numbered by. More than `limit` raise."""
+    names = df.where(F.col("split") == split).select(F.col(label).cast("string").alias("name")).where("name is not null").distinct()
+    rows = names.orderBy("name").limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} labels")
+    return [r[0] for r in rows]
 
 
 def dbpedia(df: DataFrame) -> DataFrame:

@@ -200,3 +200,11 @@ def test_streams(spark, frame, tmp_path):
     frame(X[20:25]).selectExpr("offset + 20 as offset", "key", "vector").write.mode("append").parquet(source)
     append_stream(stream, str(tmp_path / "a"), str(tmp_path / "ca")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "a/vectors")).count() == 25
+
+
+def test_class_names_are_whole_or_an_error(spark):
+    many = spark.range(10_001).selectExpr("'train' as split", "id as label")
+    with pytest.raises(ValueError):
+        datasets.class_names(many, "label")
+    most = many.where("label < 10000").unionByName(spark.sql("select 'train' as split, cast(null as long) as label"))
+    assert datasets.class_names(most, "label") == sorted(str(i) for i in range(10_000))
