@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from orrery.llm.subset import ATTRIBUTES, COORDINATES, WIDTH, attribute_sql
-
 _POOL = """
 pool as (
   select sample_id, y from (
@@ -39,19 +37,22 @@ windows as (select doc_id, array_to_string(w[i:i + 12], ' ') as gram from (selec
 select distinct doc_id, item_id from windows join grams using (gram)""",
 }
 
-_CELL = " || ".join(f"substring('56789:;<=>?@ABCDEFGHIJKLMNOPQRSTUVWXYZ[\\]^_`abcdefghi', cast(greatest(least(floor(round({attribute_sql(j, 'u[{i} + 1]', 'dim')} / norm, 9) / {WIDTH}::double), 20), -20) as int) + 33, 1)" for j in range(ATTRIBUTES))
-ORACLES["p1_varied_subset"] = f"""
+ORACLES["p1_varied_subset"] = """
 with rows_ as (
-  select v.vec_id, v.space_id, v.sample_id, s.dim, s.n_subset as k, v.vector::double[] as u
+  select v.vec_id, v.space_id, v.sample_id, s.dim, s.n_subset as k, v.vector as u
   from (select * from space_vectors qualify row_number() over (partition by vec_id order by added_at) = 1) v join spaces s using (space_id)
   where v.vector is not null and len(v.vector) = s.dim and s.n_subset > 0
     and not list_contains(list_transform(v.vector, lambda x: isnan(x)), true) and list_max(list_transform(v.vector, lambda x: abs(x))) > 0),
-cells as (select space_id, vec_id, sample_id, k, {_CELL} as full_cell from (select *, sqrt(list_sum(list_transform(u, lambda x: x * x)) * {COORDINATES} / dim) as norm from rows_)),
-depths as (
-  select space_id, max(depth) as depth from (
-    select space_id, k, depth, count(distinct full_cell[1:depth]) as occupied from cells, range(0, {ATTRIBUTES + 1}) r(depth) group by 1, 2, 3)
-  where occupied <= k group by 1),
-placed as (select space_id, vec_id, sample_id, k, substring(full_cell, 1, depth::int) as cell from cells join depths using (space_id)),
+coords as (select space_id, vec_id, dim, unnest(range(0, dim::bigint)) as i, unnest(u) as x from rows_),
+halves as (select * from (values (0, 0, 2), (1, 2, 4), (2, 1, 3)) h(j, low, high)),
+strongest as (
+  select space_id, vec_id, dim, j, i, (x > 0)::int as positive from coords join halves on i >= dim * low // 4 and i < dim * high // 4
+  qualify row_number() over (partition by vec_id, j order by abs(x) desc, x desc, i) = 1),
+bins as (select space_id, vec_id, g, j, (g * 3 + j) * 2 * dim + 2 * (i >> (5 - g)) + positive as bin from strongest, range(0, 6) r(g)),
+counted as (select *, count(*) over (partition by space_id, bin) as n from bins),
+cells as (select space_id, vec_id, g, arg_max(bin, n * 1000000 - bin) as cell from counted group by all),
+grids as (select space_id, max(g) as g from (select space_id, g, count(distinct cell) as occupied from cells group by all) join spaces using (space_id) where occupied <= 1.5 * n_subset group by 1),
+placed as (select r.space_id, r.vec_id, r.sample_id, r.k, coalesce(c.cell, -1)::varchar as cell from rows_ r left join grids using (space_id) left join cells c on c.vec_id = r.vec_id and c.g = grids.g),
 ranked as (select *, row_number() over (partition by space_id, cell order by md5(vec_id::varchar), vec_id) as rank_no from placed),
 turns as (select *, row_number() over (partition by space_id order by rank_no, md5(cell), cell) as turn from ranked)
 select space_id, vec_id, sample_id, cell, rank_no from turns where turn <= k"""

@@ -2,58 +2,77 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions.ranking import spread_rank
 from orrery.llm.vectors import valid_vectors
 from orrery.runtime import checked_broadcast, materialize
 
-#: Attributes of the grid, coordinates in each, and the width of their bins; an attribute's standard deviation over random
-#: unit vectors is 1.
-ATTRIBUTES, COORDINATES, WIDTH = 10, 16, 0.8
+#: Attributes: the quarters of a vector that each one looks at, first and last; grids; occupied cells of the grid for each record
+#: asked for.
+WINDOWS, GRIDS, ROOM = ((0, 2), (2, 4), (1, 3)), 6, 1.5
 
 
-def attribute_sql(j: int, coordinate: str, dim: str) -> str:
-    """SQL for the j-th attribute before scaling: a sum of COORDINATES signed coordinates, a very sparse random projection.
+def grid_bins(rows: DataFrame) -> DataFrame:
+    """`rows` (space_id, .., vector) without the vector and with `bins`: the bin of every grid and attribute, grids from coarse to fine.
 
-    `coordinate` is a template with {i} for the 0-based place. Such a sum stays inside generated code, unlike a dense one.
+    An attribute is the coordinate of the greatest magnitude among half of all coordinates, with its sign (the positive and
+    first one of equals): a cross-polytope hash, which similar vectors mostly share whatever their norm. The halves overlap, so
+    that every coordinate counts and the attributes split groups at different places. Coarser grids join the bins of
+    neighbouring coordinates, two, four, .. into one. A bin is a number of its own in the space. Where some coordinates are
+    the greatest in every vector, centre and scale the vectors first. All of this stays in generated code.
     """
-    signs = ["+" if (t * t * 31 + t * (7 * j + 3) + 11 * j) % 13 % 2 else "-" for t in range(COORDINATES)]
-    return "(0 " + " ".join(f"{sign} {coordinate.format(i=f'(({17 * j + 7 * t + j * j * t}) % {dim})')}" for t, sign in enumerate(signs)) + ")"
+    n = len(WINDOWS)
+    keep = [c for c in rows.columns if c != "vector"]
+    out = rows
+    for j, (low, high) in enumerate(WINDOWS):
+        first = f"cast(floor(size(vector) * {low} / 4) as int)"
+        out = out.withColumn(f"__w{j}", F.expr(f"slice(vector, {first} + 1, greatest(cast(floor(size(vector) * {high} / 4) as int) - {first}, 1))"))
+        out = out.withColumn(f"__h{j}", F.expr(f"array_max(__w{j})")).withColumn(f"__l{j}", F.expr(f"array_min(__w{j})"))
+        place = f"coalesce({first} + cast(array_position(__w{j}, if(__h{j} >= -__l{j}, __h{j}, __l{j})) as int) - 1, 0)"
+        out = out.withColumn(f"__b{j}", F.expr(f"2 * {place} + if(__h{j} >= -__l{j}, 1, 0)"))
+    out = out.select(*keep, F.expr("2 * size(vector)").alias("__stride"), *[f"__b{j}" for j in range(n)])
+    bins = [f"{g * n + j} * __stride + 2 * shiftright(__b{j}, {GRIDS - g}) + __b{j} % 2" for g in range(GRIDS) for j in range(n)]
+    return out.select(*keep, F.array(*[F.expr(b) for b in bins]).alias("bins"))
 
 
-def grid_cell(vector: str = "vector") -> tuple[Column, Column]:
-    """(scaled norm, to be named __norm; cell). The cell of a vector is a text, one character per attribute, so that a prefix is a coarser cell.
+def grid_cells(binned: DataFrame) -> DataFrame:
+    """`binned` (space_id, .., bins) with `cells` in place of `bins`: the cell of every grid, from coarse to fine.
 
-    An attribute of the unit vector is rounded to 9 decimals and cut into bins of WIDTH.
+    A record belongs to the most crowded of its bins in the grid (the first one of equals), so that the members of a group
+    come together in few cells although each attribute splits the group at another place. The counts of a space are one
+    array whose length depends on its dim alone.
     """
-    norm = f"sqrt(aggregate({vector}, 0D, (s, x) -> s + cast(x as double) * cast(x as double)) * {COORDINATES} / size({vector}))"
-    bins = [F.expr(f"char(least(greatest(floor(round({attribute_sql(j, f'cast(get({vector}, {{i}}) as double)', f'size({vector})')} / __norm, 9) / {WIDTH}D), -20), 20) + 85)") for j in range(ATTRIBUTES)]
-    return F.expr(norm), F.concat(*bins)
+    n = len(WINDOWS)
+    counted = materialize(binned.select("space_id", F.explode("bins").alias("bin")).groupBy("space_id", "bin").agg(F.count(F.lit(1)).alias("n")), "bincounts")
+    places = counted.groupBy("space_id").agg(F.max("bin").alias("top")).select("space_id", F.explode(F.sequence(F.lit(0), "top")).alias("bin"))
+    dense = places.join(counted, ["space_id", "bin"], "left").groupBy("space_id").agg(F.array_sort(F.collect_list(F.struct("bin", F.coalesce("n", F.lit(0)).alias("n")))).alias("c"))
+    counts = materialize(dense.select("space_id", F.col("c.n").alias("__counts")), "bincounts")
+    best = f"transform(sequence(0, {GRIDS - 1}), g -> -array_max(transform(slice(bins, g * {n} + 1, {n}), b -> struct(__counts[b] as n, -b as b))).b)"
+    return binned.join(checked_broadcast(counts), "space_id").select(*[c for c in binned.columns if c != "bins"], F.expr(best).alias("cells"))
 
 
 def varied_subset(vectors: DataFrame, spaces: DataFrame) -> DataFrame:
     """(space_id, vec_id, sample_id, cell, rank_no): `n_subset` records of each space, spread over its variety.
 
-    The grid of a space uses as many attributes as give at most n_subset occupied cells, so that every occupied cell is
-    represented; then records are ranked in their cell (in the order of md5(vec_id)) and the n_subset records that come
-    first by rank, then by md5(cell), are kept. Crowded cells give a second record only when every cell gave one.
+    Records are binned into the cells of several grids, from coarse to fine (see grid_bins and grid_cells), and each space
+    uses the finest one of which at most ROOM * n_subset cells are occupied, or none (one cell) where all have more. Then
+    records are ranked in their cell (in the order of md5(vec_id)) and the n_subset records that come first by rank, then by
+    md5(cell), are kept. A cell gives a second record only when every cell gave one.
 
     Ranks are exact and spread over slices of a cell, and the last rank needed is computed from the sizes of the cells, so
-    that neither a crowded cell nor a large space is sorted in one task. Only ids and cells are shuffled, no vectors.
+    that neither a crowded cell nor a large space is sorted in one task. Only ids and cells are shuffled, no vectors; these are written to the shared folder once.
     Spaces whose n_subset is null or not positive give no rows, those with fewer valid vectors all of them. For nulls,
     invalid vectors and repeated rows see valid_vectors. Empty in, empty out.
     """
     asked = spaces.groupBy("space_id").agg(F.max("n_subset").alias("k")).where("k > 0")
-    rows = valid_vectors(vectors, spaces).join(checked_broadcast(asked), "space_id").select("space_id", "vec_id", "sample_id", "k", "vector")
-    norm, cell = grid_cell("vector")
-    rows = materialize(rows.withColumn("__norm", norm).select("space_id", "vec_id", "sample_id", "k", cell.alias("full")), "cells")
-    cells = rows.groupBy("space_id", "k", "full").agg(F.count(F.lit(1)).alias("n"))
-    levels = cells.select("space_id", "k", "n", F.explode(F.sequence(F.lit(0), F.lit(ATTRIBUTES))).alias("depth"), "full").withColumn("cell", F.substring("full", F.lit(1), F.col("depth")))
-    occupied = levels.groupBy("space_id", "k", "depth").agg(F.countDistinct("cell").alias("cells")).where("cells <= k")
-    chosen = materialize(occupied.groupBy("space_id").agg(F.max("depth").alias("depth")), "depth")
-    placed = rows.join(F.broadcast(chosen), "space_id").withColumn("cell", F.expr("substring(full, 1, depth)")).drop("full", "depth")  # one row per space
+    # written first: checks and bins in one stage are too much code for the JVM to compile
+    rows = materialize(valid_vectors(vectors, spaces).join(checked_broadcast(asked), "space_id").select("space_id", "vec_id", "sample_id", "k", "vector"), "vectors")
+    placed = materialize(grid_cells(materialize(grid_bins(rows), "bins")), "cells")
+    grids = placed.select("space_id", "k", F.posexplode("cells").alias("grid", "cell")).groupBy("space_id", "k", "grid").agg(F.countDistinct("cell").alias("occupied"))
+    chosen = materialize(grids.where(F.col("occupied") <= ROOM * F.col("k")).groupBy("space_id").agg(F.max("grid").alias("grid")), "grid")
+    placed = placed.join(checked_broadcast(chosen), "space_id", "left").withColumn("cell", F.coalesce(F.get("cells", F.col("grid")), F.lit(-1)).cast("string")).drop("cells", "grid")
 
     # the last rank needed: sum over cells of min(n, last) reaches k
     sizes = placed.groupBy("space_id", "k", "cell").agg(F.count(F.lit(1)).alias("n")).groupBy("space_id", "k", "n").agg(F.count(F.lit(1)).alias("m"))

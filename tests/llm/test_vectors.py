@@ -196,11 +196,44 @@ def test_varied_subset(spark):
     cells = {r.cell for r in own}
     per = {c: sorted(r.rank_no for r in own if r.cell == c) for c in cells}
     assert all(p == list(range(1, len(p) + 1)) for p in per.values())
-    assert max(map(len, per.values())) - min(map(len, per.values())) <= 25 and len(cells) <= 25
-    norm, cell = subset.grid_cell("vector")
-    depth = len(next(iter(cells)))
-    every = {r.c[:depth] for r in valid_vectors(v, s).where("space_id = 's'").withColumn("__norm", norm).select(cell.alias("c")).collect()}
-    assert cells == every  # every occupied cell is represented
+    sizes = sorted(map(len, per.values()))
+    assert sizes[-1] - sizes[0] <= 25 and len(cells) <= 25 * subset.ROOM
+    every = subset.grid_cells(subset.grid_bins(valid_vectors(v, s).where("space_id = 's'").select("space_id", "vec_id", "vector"))).collect()
+    grids = [{str(r.cells[g]) for r in every} for g in range(subset.GRIDS)]
+    grid = max(g for g in range(subset.GRIDS) if len(grids[g]) <= 25 * subset.ROOM)
+    assert cells <= grids[grid] and len(cells) == min(25, len(grids[grid]))  # every occupied cell is represented, if there are not more than records
+    # the bins against numpy
+    for r in subset.grid_bins(valid_vectors(v, s).where("space_id = 's'").select("space_id", "vec_id", "vector")).collect():
+        y = np.float32(x[r.vec_id])
+        for j, (low, high) in enumerate(subset.WINDOWS):
+            at = low * 4 + int(np.abs(y[low * 4 : high * 4]).argmax())
+            assert [r.bins[g * 3 + j] - (g * 3 + j) * 32 for g in range(6)] == [2 * (at >> (5 - g)) + (y[at] > 0) for g in range(6)]
+
+
+def test_varied_subset_covers_groups(spark):
+    """More groups and loners than uniform samples of the same size, and a smaller share of the largest group."""
+    groups = (900, 700, 300, *[12] * 30)
+    rng = np.random.default_rng(5)
+    label = np.repeat(np.arange(len(groups)), groups)
+    centre = rng.standard_normal((len(groups), 64))
+    x = np.concatenate([(centre / np.linalg.norm(centre, axis=1)[:, None])[label] + rng.standard_normal((len(label), 64)) * 0.04, rng.standard_normal((60, 64))])
+    label = np.concatenate([label, np.full(60, -1)])
+    rows = [(i, "s", v, 0) for i, v in enumerate(x)]
+    got = label[[r.vec_id for r in subset.varied_subset(vectors(spark, rows), spaces(spark, {"s": 64}, 90)).collect()]]
+    figures = lambda own: (len(set(own[own >= 0])), (own < 0).sum(), (own == 0).mean())
+    mean = np.mean([figures(label[rng.choice(len(x), 90, False)]) for _ in range(100)], axis=0)
+    reached, loners, share = figures(got)
+    assert len(got) == 90 and reached >= mean[0] + 3 and loners > 2 * mean[1] and share < mean[2] / 2
+
+
+def test_varied_subset_of_tiny_vectors(spark):
+    rows = [(i, "a", [1.0 if i % 2 else -1.0], 0) for i in range(9)] + [(i + 50, "b", [float(i), 1.0 - i], 0) for i in range(9)] + [(i + 90, "c", [1.0, 1.0, 1.0], 0) for i in range(9)]
+    got = subset.varied_subset(vectors(spark, rows), spaces(spark, {"a": 1, "b": 2, "c": 3}, 4)).collect()
+    assert sorted(r.space_id for r in got) == ["a"] * 4 + ["b"] * 4 + ["c"] * 4 and len({r.vec_id for r in got}) == 12
+
+
+def test_varied_subset_of_nothing(spark):
+    v, s = vectors(spark, [(1, "s", [1.0] * 16, 0)]), spaces(spark, {"s": 16})
     assert subset.varied_subset(v, spaces(spark, {"s": 16}, None)).count() == 0
     assert subset.varied_subset(v.limit(0), s).count() == 0
 
