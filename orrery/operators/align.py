@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions import vec
+from orrery.functions.ranking import hash_order, spread_rank
 from orrery.operators.kernels import apply_matrix, least_squares, moments
 from orrery.operators.transforms import StandardScaling, Transform
 
@@ -113,6 +114,12 @@ class ZeroPadding:
         return trim(x, self.x_dim), trim(y, self.y_dim)
 
 
+def unpaired(x: DataFrame, y: DataFrame, seed: int = 0, on: str = "offset") -> tuple[DataFrame, DataFrame]:
+    """Both spaces for an estimator that must not rely on pairs: the offsets of x are those of a random order (of their md5)."""
+    ranked = spread_rank(x.withColumn("__at", hash_order(seed, on)), [], "__at", "__n", [on])
+    return ranked.withColumn(on, (F.col("__n") - 1).cast("long")).drop("__at", "__n"), y
+
+
 class Translator:
     """x to y: both sides are normalised, padded and aligned; what comes out is cut to y's width and y's normalisation undone."""
 

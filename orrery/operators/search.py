@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from orrery.functions import vec
 from orrery.operators.kernels import matrix
 from orrery.operators.transforms import NAMED, lp_normalize
-from orrery.runtime import checked_broadcast
+from orrery.runtime import checked_broadcast, materialize
 from orrery.sources.files import read_text, write_text
 
 #: Queries that are broadcast at once; a larger query set is taken in blocks of this size.
@@ -93,6 +93,11 @@ class SearchIndex:
     def metadata(self) -> dict:
         return {"metric": self.metric.key, "transform": self.transform_name, "name": self.name}
 
+    def contains(self, keys: DataFrame, out: str = "held") -> DataFrame:
+        """`keys` (key, ..) with a flag: whether the index holds the key."""
+        held = self.df.where("key is not null").select("key", F.lit(True).alias(out))
+        return keys.join(held, "key", "left").withColumn(out, F.coalesce(out, F.lit(False)))
+
     def __contains__(self, key: str) -> bool:
         return not self.df.where(F.col("key") == key).isEmpty()
 
@@ -191,8 +196,9 @@ class SearchIndex:
             out = out.unionByName(p)
         return out
 
-    def search_knn(self, k: int, *, query_offsets=None, query_keys=None, queries=None, transform: bool = False, digits: int | None = None) -> DataFrame:
+    def search_knn(self, k: int, *, query_offsets=None, query_keys=None, queries=None, transform: bool = False, digits: int | None = None, pad: bool = False) -> DataFrame:
         """(query_id, rank, offset, key, distance): the k nearest rows of each query, a stored query being its own neighbour.
+        With `pad`, queries with fewer than k rows get rows of offset -1 up to rank k - 1, with null key and distance.
 
         Every batch of rows gives its k best by BLAS, and only those are shuffled, by query. Fewer than k rows give all there
         are. `digits` rounds distances before they are ranked, so that other engines agree on ties.
@@ -212,7 +218,11 @@ class SearchIndex:
             found = found.withColumn("distance", F.round("distance", digits) + F.lit(0.0))
         order = F.asc("distance") if self.metric.ascending else F.desc("distance")
         ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(order, "offset")))
-        return ranked.where(F.col("rank") <= k).select("query_id", (F.col("rank") - 1).cast("int").alias("rank"), "offset", "key", "distance")
+        best_k = ranked.where(F.col("rank") <= k).select("query_id", (F.col("rank") - 1).cast("int").alias("rank"), "offset", "key", "distance")
+        if not pad:
+            return best_k
+        places = q.select("query_id", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("rank"))
+        return places.join(best_k, ["query_id", "rank"], "left").withColumn("offset", F.coalesce("offset", F.lit(-1)).cast("long"))
 
     def search_range(self, radius: float, *, query_offsets=None, query_keys=None, queries=None, transform: bool = False, sort: bool = True) -> DataFrame:
         """(query_id, rank, offset, key, distance) of the rows strictly within the radius: squared distance below it, similarity
@@ -243,7 +253,10 @@ def knn_sql(index: DataFrame, queries: DataFrame, k: int, metric: str, digits: i
     row_number per query. Used to cross-check SearchIndex; the kernel is faster."""
     m = METRICS[metric]
     d = F.round(m.distance(F.col("q"), F.col("vector")), digits) + F.lit(0.0)
-    pairs = index.join(checked_broadcast(queries.select("query_id", F.col("vector").alias("q")), BLOCK), F.lit(True)).select("query_id", "offset", d.alias("distance"))
+    asked = queries.select("query_id", F.col("vector").alias("q"))
+    if asked.limit(BLOCK + 1).count() > BLOCK:
+        raise ValueError(f"more than {BLOCK} queries: use SearchIndex")
+    pairs = index.join(F.broadcast(asked), F.lit(True)).select("query_id", "offset", d.alias("distance"))
     order = F.asc("distance") if m.ascending else F.desc("distance")
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(order, "offset")))
     return ranked.where(F.col("rank") <= k).select("query_id", (F.col("rank") - 1).cast("int").alias("rank"), "offset", "distance")
@@ -256,21 +269,18 @@ def per_query(found: DataFrame) -> DataFrame:
 
 
 def dense_offsets(df: DataFrame, order: str, start: int = 0, slices: int = 64) -> DataFrame:
-    """Add `offset`: start, start + 1, .. in the order of a column (nulls first), without one task for all rows.
+    """Add `offset`: start, start + 1, .. in the order of a column of any kind (nulls first), without one task for all rows.
 
-    The column is cut into ranges by approximate quantiles where it is numeric; each range is numbered by itself and the sizes
-    of the ranges before are added.
+    Rows are cut into ranges of the column, equal values by a hash of the row, so that a value that most rows hold is spread
+    as well; each range is numbered by itself and the sizes of the ranges before are added.
     """
-    kind = dict(df.dtypes)[order]
-    if kind in ("int", "bigint", "double", "float", "smallint", "tinyint"):
-        cuts = sorted(set(df.approxQuantile(order, [i / slices for i in range(1, slices)], 0.01)))
-    else:
-        cuts = []
-    bucket = sum(((F.col(order) > F.lit(c)).cast("int") for c in cuts), F.lit(0)) if cuts else F.lit(0)
-    cut = df.withColumn("__b", F.coalesce(bucket, F.lit(-1)))
-    sizes = cut.groupBy("__b").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    ranked = cut.withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy(order)))
-    return ranked.join(F.broadcast(sizes), "__b").withColumn("offset", (F.col("__r") + F.col("__before") - 1 + start).cast("long")).drop("__b", "__r", "__before")  # at most slices + 1 rows
+    by = [F.asc_nulls_first(order), F.asc("__h")]
+    hashed = df.withColumn("__h", F.xxhash64(*df.columns))
+    ranges = hashed.repartitionByRange(slices, *by).sortWithinPartitions(*by).drop("__h")
+    # the lower 33 bits of this id number the rows of a partition
+    parts = materialize(ranges.withColumn("__b", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "ranges")
+    sizes = parts.groupBy("__b").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    return parts.join(F.broadcast(sizes), "__b").withColumn("offset", (F.col("__i") + F.col("__before") + start).cast("long")).drop("__b", "__i", "__before")  # one row per slice
 
 
 def with_metric(index: SearchIndex, metric: str) -> SearchIndex:

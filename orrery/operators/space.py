@@ -21,8 +21,8 @@ from orrery.sources.files import exists, read_text, write_text
 #: Columns of every space; `offset` is the row's identity, `key` may be null.
 SCHEMA = T.StructType([T.StructField("offset", T.LongType()), T.StructField("key", T.StringType()), T.StructField("vector", T.ArrayType(T.DoubleType()))])
 
-#: Version and names stamped into the properties, and so into the id (fixed values).
-VERSION, KIND = -42, "LatentSpace"
+#: Version and kind stamped into the properties, and so into the id.
+VERSION, KIND = 1, "space"
 
 #: Named readers of vector tables: (spark, path) -> frame with the columns of SCHEMA.
 READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +55,14 @@ class Space:
         self.df = df.select(F.col("offset").cast("long").alias("offset"), (F.col("key") if "key" in df.columns else F.lit(None)).cast("string").alias("key"), vec.as_double("vector").alias("vector"))
         self._properties = {"_version": VERSION, "_type": KIND} | copy.deepcopy(properties or {})
         self.root_path = root_path
+        self.source_model: Any = None
+        self.decoders: dict[str, Any] = {}
+
+    def attach(self, source_model: Any = None, **decoders: Any) -> Space:
+        """The model the vectors come from, and decoders by name: anything with save(path) and properties."""
+        self.source_model = source_model or self.source_model
+        self.decoders |= decoders
+        return self
 
     # -- construction
 
@@ -200,6 +208,9 @@ class Space:
             self.df.write.mode(mode).parquet(f"{path}/vectors")
         if properties:
             write_text(self.spark, f"{path}/properties.json", json.dumps(self._properties, indent=4, sort_keys=True, ensure_ascii=False))
+        for at, model in {"source_model": self.source_model, **{f"decoders/{n}": d for n, d in self.decoders.items()}}.items():
+            if model is not None and hasattr(model, "save"):
+                model.save(f"{path}/{at}")
 
     @staticmethod
     def load_properties(spark: SparkSession, path: str) -> dict[str, Any]:

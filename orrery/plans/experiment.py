@@ -4,18 +4,32 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
+from enum import Enum
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orrery.operators.align import Translator, pair
 from orrery.operators.correspondence import Correspondence
 from orrery.operators.encode import Classifier
 from orrery.operators.measures import ROW_MEASURES
 from orrery.operators.space import Space
-from orrery.runtime import checked_broadcast
 from orrery.sources.catalog import content_id, resolve_items
+from orrery.sources.files import read_text
+
+
+class TaskType(str, Enum):
+    LATENT, DOWNSTREAM, AGREEMENT = "latent", "downstream", "agreement"
+
+
+class TaskProperty(str, Enum):
+    ESTIMATOR, METRIC, CORRESPONDENCE = "estimator", "metric", "correspondence"
+
+
+#: The rows an experiment gives.
+RESULT = T.StructType([T.StructField("experiment", T.StringType()), T.StructField("estimator", T.StringType()), T.StructField("metric", T.StringType()), T.StructField("score", T.DoubleType())])
 
 FACETS = ["fit_correspondence", "fit_x_space", "fit_y_space", "test_correspondence", "test_x_space", "test_y_space", "estimator"]
 
@@ -80,7 +94,7 @@ class Experiment:
         x, y = self.transform_stage(fitted)
         scores = self.latent_evaluation_stage(x, y) | self.downstream_evaluation_stage(x)
         rows = [(self.item_id, fitted.name, m, None if s is None else float(s)) for m, s in scores.items()]
-        return x.sparkSession.createDataFrame(rows, "experiment string, estimator string, metric string, score double")
+        return x.sparkSession.createDataFrame(rows, RESULT)
 
     def export(self, results: DataFrame, selection: dict[str, list[str]]) -> DataFrame:
         """Results as a wide table with columns <part>/<property>; a part without properties is a column of the results."""
@@ -137,7 +151,9 @@ def resolve_benchmark(correspondences: DataFrame, spaces: DataFrame, policies: l
             tests = one if tests is None else tests.unionByName(one)
         if tests is None or not kinds or not policy["estimators"]:
             continue
-        grid = fit.join(checked_broadcast(tests, 100_000), F.lit(True)).withColumn("estimator", F.explode(F.array(*[F.lit(e) for e in policy["estimators"]]))).withColumn("m", scored)
+        if tests.limit(100_001).count() > 100_000:
+            raise ValueError("more than 100,000 test parts of one policy: its grid would be a cross product of two large sides")
+        grid = fit.join(F.broadcast(tests), F.lit(True)).withColumn("estimator", F.explode(F.array(*[F.lit(e) for e in policy["estimators"]]))).withColumn("m", scored)
         grid = grid.select(*FACETS, "test", F.col("m.metric").alias("metric"), F.col("m.metric_type").alias("metric_type"))
         out = grid if out is None else out.unionByName(grid)
     return out if out is not None else spark.createDataFrame([], ", ".join(f"{c} string" for c in FACETS) + ", test int, metric string, metric_type string")
@@ -146,3 +162,34 @@ def resolve_benchmark(correspondences: DataFrame, spaces: DataFrame, policies: l
 def experiments_summary(experiments: DataFrame) -> DataFrame:
     """One row: the number of experiments and of distinct values of each facet; metrics count with their type."""
     return experiments.agg(F.count(F.lit(1)).alias("experiments"), *[F.countDistinct(c).alias(f"{c}s") for c in FACETS], F.countDistinct("metric", "metric_type").alias("metrics"))
+
+
+def read_benchmark(spark: SparkSession, path: str) -> dict[str, Any]:
+    """{"policies": [..], "metrics": {type: [name, ..]}} from a JSON file, or a YAML file where PyYAML is there."""
+    text = read_text(spark, path)
+    if path.endswith((".yaml", ".yml")):
+        try:
+            import yaml
+        except ImportError as e:
+            raise RuntimeError("YAML needs PyYAML; give the benchmark as JSON") from e
+        config = yaml.safe_load(text)
+    else:
+        config = json.loads(text)
+    if not isinstance(config, dict) or not {"policies", "metrics"} <= set(config):
+        raise ValueError("a benchmark has policies and metrics")
+    return config
+
+
+def write_benchmark(experiments: DataFrame, path: str) -> None:
+    """The planned experiments as JSON lines, written by tasks."""
+    experiments.write.json(path)
+
+
+def load_benchmark(spark: SparkSession, path: str) -> DataFrame:
+    kinds = ", ".join(f"{c} string" for c in FACETS) + ", test int, metric string, metric_type string"
+    return spark.read.schema(kinds).json(path)
+
+
+def benchmark_summary(spark: SparkSession, path: str) -> DataFrame:
+    """experiments_summary of a stored benchmark."""
+    return experiments_summary(load_benchmark(spark, path))

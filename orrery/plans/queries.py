@@ -142,8 +142,7 @@ def get_vectors_by_key(spark, sf):
 def contains_keys(spark, sf):
     """Whether each key of a list that runs past the index is held."""
     rows = x(spark, sf)
-    wanted = rows.select(F.concat(F.lit("k"), F.col("offset") * 2).alias("key"))
-    return wanted.join(rows.select("key", F.lit(True).alias("held")), "key", "left").select("key", F.coalesce("held", F.lit(False)).alias("held"))
+    return search.SearchIndex(rows, "l2").contains(rows.select(F.concat(F.lit("k"), F.col("offset") * 2).alias("key"))).select("key", "held")
 
 
 @query
@@ -593,8 +592,13 @@ def class_names(spark, sf):
 
 @query
 def encode_append(spark, sf):
-    """Texts encoded by hashing and mean-pooled."""
-    got = encode.encode_feature(_records(spark, sf).where("content is not null"), "content", encode.HashingEncoder(16), id_column="id")
+    """Texts encoded by hashing, mean-pooled and added to a space in two batches, of which the second repeats half of the first."""
+    from orrery.plans.stored import scratch
+
+    rows, at = _records(spark, sf).where("content is not null"), scratch(spark)
+    for part in (rows.where("id % 4 < 2"), rows.where("id % 4 > 0")):
+        encode.add_encoding(encode.encode_feature(part, "content", encode.HashingEncoder(16), id_column="id"), at)
+    got = spark.read.parquet(f"{at}/vectors")
     return got.select(F.col("offset").alias("id"), F.size("vector").alias("dim"), num(vec.norm("vector"), 4).alias("norm"))
 
 
@@ -607,3 +611,6 @@ def classifier_scores(spark, sf):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
+
+
+from orrery.plans import stored as _stored  # noqa: E402, F401  (registers its queries)

@@ -237,3 +237,7 @@ select {num('abs(c) / sqrt(mx * my) / sqrt((vx / mx + 1e-6::double) * (vy / my +
     "feature_select": f"with {SUBSET} select n - 1 as sample_id, split, title || '. ' || regexp_replace(trim(content, '\"'), '^\\s+|\\s+$', '', 'g') as x, label as y from ranked where n <= floor(total * 0.5::double)",
     "class_names": f"with {RECORDS} select (row_number() over (order by label) - 1)::int as i, label as name from (select distinct label::varchar as label from records where split = 'train' and label is not null)",
 }
+
+from orrery.plans.stored_sql import ORACLES as _STORED  # noqa: E402
+
+ORACLES |= _STORED

@@ -10,8 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows a side may have to be broadcast; beyond it operators fall back to a shuffle join.
-BROADCAST_ROWS = 2_000_000
+#: Rows and bytes a side may have to be broadcast; beyond them operators fall back to a shuffle join.
+BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 256 << 20
 
 
 def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -60,8 +60,16 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` with a broadcast hint if it has at most `max_rows` rows, else unchanged. Give it materialised or cheap frames: it counts them."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    """`df` with a broadcast hint if it has at most `max_rows` rows and BROADCAST_BYTES bytes, else unchanged. Give it
+    materialised or cheap frames: it counts them. Texts and arrays are measured, other columns count 8 bytes."""
+    size = F.lit(8 * (len(df.columns) + 1))
+    for name, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(name), F.lit(0))
+        elif kind.startswith("array<"):
+            size = size + 8 * F.greatest(F.size(name), F.lit(0)) if kind in ("array<int>", "array<bigint>", "array<double>", "array<float>") else size + F.coalesce(F.octet_length(F.to_json(F.struct(name))), F.lit(0))
+    rows, total = df.select(size.cast("long").alias("size")).limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum("size")).first()
+    return F.broadcast(df) if rows <= max_rows and (total or 0) <= BROADCAST_BYTES else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -55,23 +55,12 @@ class DiskCatalog:
             if held != item_class:
                 raise ValueError(f"the catalog holds {held}")
 
-    def _items(self) -> dict[str, dict[str, Any]]:
-        out = {}
-        for name in children(self.spark, self.root):
-            at = f"{self.root}/{name}/properties.json"
-            if name != "info.json" and exists(self.spark, at):
-                properties = json.loads(read_text(self.spark, at))
-                if content_id(properties) != name:
-                    raise ValueError(f"{name} is not the hash of its properties")
-                out[name] = properties
-        return out
-
     def __len__(self) -> int:
-        return len(self._items())
+        return self.frame().count()
 
     def frame(self) -> DataFrame:
         """(item_id, properties) of all items, read by tasks."""
-        if not len(children(self.spark, self.root)):
+        if not any(exists(self.spark, f"{self.root}/{name}/properties.json") for name in children(self.spark, self.root)):
             return self.spark.createDataFrame([], "item_id string, properties string")
         rows = self.spark.read.text(f"{self.root}/*/properties.json", wholetext=True)
         return rows.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("item_id"), F.col("value").alias("properties"))
@@ -90,35 +79,50 @@ class DiskCatalog:
         if len(set(ids)) != len(ids) or any(exists(self.spark, f"{self.root}/{i}") for i in ids):
             raise FileExistsError("items exist already or repeat")
         if not exists(self.spark, f"{self.root}/info.json"):
-            write_text(self.spark, f"{self.root}/info.json", json.dumps({"item_class": self.item_class, "version": -42}))
-        for item, (properties, save) in zip(ids, items):
-            if save:
-                save(f"{self.root}/{item}")
-            write_text(self.spark, f"{self.root}/{item}/properties.json", json.dumps(properties, indent=4, sort_keys=True))
+            write_text(self.spark, f"{self.root}/info.json", json.dumps({"item_class": self.item_class, "version": 1}))
+        try:  # an item counts from when its properties.json is there, which is written when all contents are
+            for item, (_, save) in zip(ids, items):
+                if save:
+                    save(f"{self.root}/{item}")
+            for item, (properties, _) in zip(ids, items):
+                write_text(self.spark, f"{self.root}/{item}/properties.json", json.dumps(properties, indent=4, sort_keys=True))
+        except BaseException:
+            for item in ids:
+                remove(self.spark, f"{self.root}/{item}")
+            raise
         return ids
 
+    def resolve(self, item_key: str | None = None, **properties: Any) -> DataFrame:
+        """(item_id, properties) of the items that match: a filter over the files, run by tasks. A key that starts no id raises."""
+        frame = self.frame()
+        if item_key is not None and frame.where(F.col("item_id").startswith(item_key)).isEmpty():
+            raise KeyError(item_key)
+        return resolve_items(frame, item_key, **properties)
+
+    def get_items(self, item_key: str | None = None, **properties: Any) -> dict[str, dict[str, Any]]:
+        out = {r.item_id: json.loads(r.properties) for r in self.resolve(item_key, **properties).orderBy("item_id").toLocalIterator()}
+        wrong = [k for k, p in out.items() if content_id(p) != k]
+        if wrong:
+            raise ValueError(f"not the hash of their properties: {wrong}")
+        return out
+
     def get_items_key(self, item_key: str | None = None, **properties: Any) -> list[str]:
-        items = self._items()
-        if item_key is not None:
-            items = {k: v for k, v in items.items() if k.startswith(item_key)}
-            if not items:
-                raise KeyError(item_key)
-        return [k for k, p in items.items() if all(p.get(n) == v for n, v in properties.items())]
+        return list(self.get_items(item_key, **properties))
 
-    def get_item_key(self, item_key: str | None = None, **properties: Any) -> str:
-        found = self.get_items_key(item_key, **properties)
-        if not found:
-            raise KeyError(properties)
-        if len(found) > 1:
-            raise ValueError(f"{len(found)} items")
-        return found[0]
+    def _one(self, item_key: str | None, properties: dict[str, Any]) -> tuple[str, dict[str, Any]]:
+        matching = self.get_items(item_key, **properties)
+        match list(matching.items()):
+            case [item]:
+                return item
+            case []:
+                raise KeyError(properties)
+        raise ValueError(f"ambiguous: {len(matching)} items match")
 
-    def get_items(self, item_key: str | None = None, **properties: Any) -> dict[str, dict[str, Any]]:
-        items = self._items()
-        return {k: items[k] for k in self.get_items_key(item_key, **properties)}
+    def get_item_key(self, item_key: str | None = None, **properties: Any) -> str:
+        return self._one(item_key, properties)[0]
 
     def get_item(self, item_key: str | None = None, **properties: Any) -> dict[str, Any]:
-        return self._items()[self.get_item_key(item_key, **properties)]
+        return self._one(item_key, properties)[1]
 
     def get_item_path(self, item_key: str | None = None, **properties: Any) -> str:
         return f"{self.root}/{self.get_item_key(item_key, **properties)}"

@@ -19,6 +19,14 @@ class DataType(str, Enum):
     TEXT, IMAGE, LABEL = "text", "image", "label"
 
 
+class FeatureProperty(str, Enum):
+    LANGUAGE, CLASSES, FINE_GRAINED = "language", "classes", "fine_grained"
+
+
+class DatasetProperty(str, Enum):
+    NAME, PERC, VERSION = "name", "perc", "version"
+
+
 @dataclass(frozen=True)
 class Feature:
     col_name: str
@@ -108,12 +116,23 @@ def imdb(df: DataFrame, seed: int = 42) -> DataFrame:
     return known.where(F.col("split") != "train").unionByName(parts.withColumn("split", F.col("part")).drop("part"))
 
 
+def class_label(df: DataFrame, label: str) -> tuple[DataFrame, list[str]]:
+    """The label as its number among the distinct labels of train, in their order as text, null where train lacks it; and the names."""
+    names = class_names(df, label)
+    number = F.array_position(F.array(*[F.lit(n) for n in names]).cast("array<string>"), F.col(label).cast("string")) - 1
+    return df.withColumn(label, F.when(number >= 0, number.cast("int"))), names
+
+
+#: Processors whose label becomes a class label of the distinct labels in train.
+CLASS_LABELS = {"ag_news": "label", "imdb": "label"}
+_ENGLISH = {FeatureProperty.LANGUAGE.value: "en"}
+
 #: name -> (process, features): text and image sets in the shape their public sources have.
 PROCESSORS: dict[str, tuple[Callable[[DataFrame], DataFrame], list[Feature]]] = {
-    "dbpedia_14": (dbpedia, [Feature("x", DataType.TEXT), Feature("y", DataType.LABEL)]),
-    "trec": (lambda d: d, [Feature("text", DataType.TEXT), Feature("coarse_label", DataType.LABEL), Feature("fine_label", DataType.LABEL)]),
-    "ag_news": (lambda d: d, [Feature("text", DataType.TEXT), Feature("label", DataType.LABEL)]),
-    "imdb": (imdb, [Feature("text", DataType.TEXT), Feature("label", DataType.LABEL)]),
+    "dbpedia_14": (dbpedia, [Feature("x", DataType.TEXT, _ENGLISH), Feature("y", DataType.LABEL)]),
+    "trec": (lambda d: d, [Feature("text", DataType.TEXT, _ENGLISH), Feature("coarse_label", DataType.LABEL), Feature("fine_label", DataType.LABEL, {FeatureProperty.FINE_GRAINED.value: True})]),
+    "ag_news": (lambda d: d, [Feature("text", DataType.TEXT, _ENGLISH), Feature("label", DataType.LABEL)]),
+    "imdb": (imdb, [Feature("text", DataType.TEXT, _ENGLISH), Feature("label", DataType.LABEL)]),
     "mnist": (lambda d: d, [Feature("image", DataType.IMAGE), Feature("label", DataType.LABEL)]),
     "fashion_mnist": (lambda d: d, [Feature("image", DataType.IMAGE), Feature("label", DataType.LABEL)]),
     "cifar10": (lambda d: d.withColumnRenamed("img", "image"), [Feature("image", DataType.IMAGE), Feature("label", DataType.LABEL)]),
@@ -124,7 +143,11 @@ PROCESSORS: dict[str, tuple[Callable[[DataFrame], DataFrame], list[Feature]]] =
 def process(name: str, df: DataFrame, perc: float = 1.0, seed: int = 42, raw_id: str = "id", id_column: str = "sample_id") -> Dataset:
     """A dataset from raw rows (raw_id, split, ..): seeded subset of every split, processor, feature columns only, new ids."""
     fn, features = PROCESSORS[name]
-    part = subset(fn(df), perc, seed, on=raw_id, id_out=id_column)
+    made = fn(df)
+    if name in CLASS_LABELS:
+        made, names = class_label(made, CLASS_LABELS[name])
+        features = [f if f.col_name != CLASS_LABELS[name] else Feature(f.col_name, f.data_type, f.properties | {FeatureProperty.CLASSES.value: names}) for f in features]
+    part = subset(made, perc, seed, on=raw_id, id_out=id_column)
     return Dataset(name, part.select(id_column, "split", *[f.col_name for f in features]), features, perc, id_column)
 
 
