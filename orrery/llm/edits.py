@@ -12,43 +12,64 @@ from pyspark.sql import functions as F
 from orrery.llm.wordsets import MIN_WORDS, SIMILARITY, Hasher, common_words, connected_groups, exact_links, mix, one_version, set_hash, texts_of
 from orrery.runtime import checked_broadcast, materialize
 
-#: Bits of a fingerprint, records up to which a shard is searched by a tree, records beyond which it is hot, and the share of
+#: Bits of a fingerprint, records beyond which a shard is cut by one more word, words of a shard key at most, and the share of
 #: records from which words are ordered by how many hold them (rarer ones come before them, in hash order).
-BITS, TREE, HOT, COUNTED = 128, 16, 2048, 0.0002
-
-
-class BKTree:
-    """Integers under Hamming distance: a child is filed under its distance to the parent, and a search follows only the
-    edges within the radius of its own distance (triangle inequality)."""
-
-    def __init__(self) -> None:
-        self.root: list | None = None
-
-    def add(self, code: int, item: int) -> None:
-        if self.root is None:
-            self.root = [code, [item], {}]
-            return
-        node = self.root
-        while True:
-            d = (node[0] ^ code).bit_count()
-            if d == 0:
-                node[1].append(item)
-                return
-            child = node[2].get(d)
-            if child is None:
-                node[2][d] = [code, [item], {}]
-                return
-            node = child
-
-    def within(self, code: int, radius: int) -> list[int]:
-        found, todo = [], [self.root] if self.root else []
-        while todo:
-            value, items, children = todo.pop()
-            d = (value ^ code).bit_count()
-            if d <= radius:
-                found += items
-            todo += [c for at, c in children.items() if d - radius <= at <= d + radius]
-        return found
+BITS, HOT, DEPTH, COUNTED = 128, 512, 4, 0.0002
+
+
+class BKForest:
+    """BK-trees of many shards at once: a child is filed under its Hamming distance to the parent, and a search follows only the
+    edges within the radius of its own distance (triangle inequality).
+
+    Rows stand shard by shard; those with `stored` make up the tree of their shard, in their order, the first one being the
+    root. All trees grow and are searched together, a level of each at a time, so that thousands of small shards cost a few
+    array operations.
+    """
+
+    def __init__(self, shard: np.ndarray, codes: np.ndarray, stored: np.ndarray | None = None) -> None:
+        self.codes, n = codes, len(shard)
+        self.shard_of = np.cumsum(np.concatenate([[0], np.diff(shard) != 0])) if n else np.zeros(0, np.int64)
+        stored = np.ones(n, bool) if stored is None else stored
+        rows = np.flatnonzero(stored)
+        self.root = np.full(int(self.shard_of[-1]) + 1 if n else 0, -1)
+        first, at = np.unique(self.shard_of[rows], return_index=True)
+        self.root[first] = rows[at]
+        todo = np.setdiff1d(rows, rows[at], assume_unique=True)
+        node = self.root[self.shard_of[todo]]
+        edges, children = [], []
+        while len(todo):
+            edge = node * 256 + self.distance(todo, node)
+            # the first row of each edge becomes the child, the others go on from it
+            key, at, which = np.unique(edge, return_index=True, return_inverse=True)
+            edges.append(key)
+            children.append(todo[at])
+            stay = np.ones(len(todo), bool)
+            stay[at] = False
+            todo, node = todo[stay], todo[at][which][stay]
+        self.edges = np.concatenate(edges) if edges else np.zeros(0, np.int64)
+        self.children = np.concatenate(children) if children else np.zeros(0, np.int64)
+        order = np.argsort(self.edges)
+        self.edges, self.children = self.edges[order], self.children[order]
+
+    def distance(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(self.codes[x] ^ self.codes[y]).sum(axis=1).astype(np.int64)
+
+    def within(self, queries: np.ndarray, radius: np.ndarray, earlier: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query, row, distance) of rows in the queries' shards within their radius, level by level; with `earlier` only rows
+        that stand before the query, whose subtrees hold later rows alone."""
+        node = self.root[self.shard_of[queries]]
+        keep = (node >= 0) & ((node < queries) | (not earlier))
+        query, node, most = queries[keep], node[keep], radius[keep]
+        while len(query):
+            d = self.distance(query, node)
+            near = d <= most
+            yield query[near], node[near], d[near]
+            low = np.searchsorted(self.edges, node * 256 + np.maximum(d - most, 0))
+            size = np.searchsorted(self.edges, node * 256 + np.minimum(d + most, 255), side="right") - low
+            child = self.children[np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+            query, most = np.repeat(query, size), np.repeat(most, size)
+            keep = (child < query) | (not earlier)
+            query, node, most = query[keep], child[keep], most[keep]
 
 
 def radius(na: int, nb: int, similarity: float = SIMILARITY) -> int:
@@ -56,11 +77,17 @@ def radius(na: int, nb: int, similarity: float = SIMILARITY) -> int:
     return int((na + nb) * (1 - similarity) / (1 + similarity) + 1e-9)
 
 
+def width(n, similarity: float = SIMILARITY):
+    """Among how many of the first words of a set of size n the first word shared with a similar set stands."""
+    return n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
+
+
 def prefix_keys(h: np.ndarray, sizes: np.ndarray, order: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """(keys, how many each row has): the first words of every row in one order of all words, the rarest first.
 
     Sets of sizes na and nb share at least `similarity` * max(na, nb) words, so the first word they share stands among the
-    first n - ceil(similarity * n) + 1 of either.
+    first n - ceil(similarity * n) + 1 of either, and the i-th one among the first n - ceil(similarity * n) + i: DEPTH - 1
+    words more are given.
     """
     words, shares = order
     row = np.repeat(np.arange(len(sizes)), sizes)
@@ -69,7 +96,7 @@ def prefix_keys(h: np.ndarray, sizes: np.ndarray, order: tuple[np.ndarray, np.nd
         at = np.minimum(np.searchsorted(words, h), len(words) - 1)
         share = np.where(words[at] == h, shares[at], 0.0)
     place = np.lexsort((mix(h, 7), share, row))
-    count = np.where(sizes > 0, sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1, 0)
+    count = np.minimum(np.where(sizes > 0, width(sizes, similarity) + DEPTH - 1, 0), sizes)
     rank = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     return h[place][rank < count[row]].view(np.int64), count
 
@@ -105,108 +132,121 @@ def fingerprints(texts: DataFrame, order: tuple[np.ndarray, np.ndarray], min_wor
     return texts.select("id", "text").mapInArrow(prints, "id long, set_hash long, n int, f0 long, f1 long, keys array<long>")
 
 
+_ROWS = ("key", "a", "n", "f0", "f1", "place", "stored")
+_KINDS = "a long, b long, key long, n int, f0 long, f1 long, place int"
+
+
+def _forest_links(rows: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) of the records of whole shards (the columns _ROWS, sorted by key) that lie within the radius.
+
+    place: where the last word of the key stands in the record, less the words before it in the key: from there on two
+    records share as many words as the shorter rest holds, if they share none before but those of the key.
+    """
+    key, item, n, place, stored = (rows[:, i] for i in (0, 1, 2, 5, 6))
+    ratio = (1 - similarity) / (1 + similarity)
+    forest = BKForest(key, np.ascontiguousarray(rows[:, 3:5]).view(np.uint64), stored > 0)
+    whole = bool((stored > 0).all())
+    queries = np.arange(len(rows)) if whole else np.flatnonzero(stored == 0)
+    most = np.minimum(np.floor(n * (1 + 1 / similarity) * ratio + 1e-9), BITS).astype(np.int64)
+    found = [np.zeros((0, 2), np.int64)]
+    for x, y, far in forest.within(queries, most[queries], earlier=whole):
+        both = n[x] + n[y]
+        ok = (far <= both * ratio + 1e-9) & (item[x] != item[y])
+        if whole:
+            ok &= np.minimum(n[x] - place[x], n[y] - place[y]) >= both * (similarity / (1 + similarity)) - 1e-9
+        found.append(np.column_stack([np.minimum(item[x[ok]], item[y[ok]]), np.maximum(item[x[ok]], item[y[ok]])]))
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
 def _shard_links(batches: Iterator[pa.RecordBatch], similarity: float, hot: int) -> Iterator[pa.RecordBatch]:
-    """Reads rows sorted by key; gives (a, b) of all in a key that lie within the radius, by a BK-tree or, as a tree of more
-    rows at such a radius leaves little out, by a pass over their fingerprints. Rows of keys with more than `hot` records come
-    out as (a, null, key, n, f0, f1) for another treatment."""
-
-    def emit(a, b, key, n, f0, f1):
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(key, pa.int64()), pa.array(n, pa.int32()), pa.array(f0, pa.int64()), pa.array(f1, pa.int64())], names=["a", "b", "key", "n", "f0", "f1"])
-
-    def links(run: np.ndarray, out: list) -> None:
-        if len(run) == 2:
-            x, y = run.tolist()
-            if ((x[3] ^ y[3]) & (2**64 - 1)).bit_count() + ((x[4] ^ y[4]) & (2**64 - 1)).bit_count() <= radius(x[2], y[2], similarity):
-                out.append((min(x[1], y[1]), max(x[1], y[1])))
-            return
-        if len(run) > TREE:
-            return scan(run[np.argsort(run[:, 2], kind="stable")], out)
-        tree = BKTree()
-        for _, item, n, f0, f1, _ in run.tolist():
-            code = (f0 & (2**64 - 1)) << 64 | (f1 & (2**64 - 1))
-            most = radius(n, int(n / similarity) + 1, similarity)
-            for other in tree.within(code, most):
-                if other != item:
-                    out.append((min(item, other), max(item, other)))
-            tree.add(code, item)
-
-    def scan(run: np.ndarray, out: list) -> None:
-        item, n, place = run[:, 1], run[:, 2], run[:, 5]
-        f0, f1 = (np.ascontiguousarray(run[:, c]).view(np.uint64) for c in (3, 4))
-        for s in range(0, len(run), 256):
-            e = min(s + 256, len(run))
-            end = int(np.searchsorted(n, n[e - 1] / similarity + 1e-9, side="right"))
-            far = np.bitwise_count(f0[s:e, None] ^ f0[None, s:end]) + np.bitwise_count(f1[s:e, None] ^ f1[None, s:end])
-            x, y = np.nonzero(far <= min(radius(int(n[e - 1]), int(n[end - 1]), similarity), BITS))
-            x, y, far = x + s, y + s, far[x, y]
-            both = n[x] + n[y]
-            # words shared from this one on, if none before it is; a pair that shares an earlier one is found there
-            most = np.minimum(n[x] - place[x], n[y] - place[y])
-            ok = (x < y) & (far <= both * ((1 - similarity) / (1 + similarity)) + 1e-9) & (most >= both * (similarity / (1 + similarity)) - 1e-9)
-            a, c = item[x[ok]], item[y[ok]]
-            out += zip(np.minimum(a, c).tolist(), np.maximum(a, c).tolist())
-
-    left = np.zeros((0, 6), np.int64)
+    """Reads _ROWS sorted by key; gives (a, b) of all in a key that lie within the radius, by BK-trees. Rows of keys with more
+    than `hot` records are not held but come out as (a, null, key, ..) for another treatment."""
+
+    def emit(**cols):
+        n = len(cols["a"])
+        kinds = {"a": pa.int64(), "b": pa.int64(), "key": pa.int64(), "n": pa.int32(), "f0": pa.int64(), "f1": pa.int64(), "place": pa.int32()}
+        return pa.RecordBatch.from_arrays([pa.array(cols[c], k) if c in cols else pa.nulls(n, k) for c, k in kinds.items()], names=[*kinds])
+
+    def links(runs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        # shards are taken together until they may have some millions of pairs
+        low, pairs = 0, 0
+        for i, run in enumerate(runs):
+            pairs += len(run) ** 2
+            if pairs > 4_000_000 or i == len(runs) - 1:
+                a, b = _forest_links(np.concatenate(runs[low : i + 1]), similarity)
+                if len(a):
+                    yield emit(a=a, b=b)
+                low, pairs = i + 1, 0
+
+    left = np.zeros((0, len(_ROWS)), np.int64)
     open_hot: int | None = None
     for b in batches:
-        now = np.column_stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(6)])
+        now = np.column_stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(len(_ROWS))])
         rows = np.concatenate([left, now])
-        out: list[tuple[int, int]] = []
-        passed = []
-        if len(rows):
-            cuts = np.flatnonzero(np.diff(rows[:, 0])) + 1
-            starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(rows)]])
-            last = starts[-1]
-            use = (ends - starts > 1) | (starts == last)
-            if open_hot is not None:
-                use |= rows[starts, 0] == open_hot
-            for s, e in zip(starts[use].tolist(), ends[use].tolist()):
-                if e - s > hot or rows[s, 0] == open_hot:
-                    passed.append(rows[s:e])
-                    open_hot = int(rows[s, 0])
-                elif s != last and e - s > 1:
-                    links(rows[s:e], out)
-            left = rows[:0] if open_hot == rows[last, 0] else rows[last:]
-        if out:
-            a, c = zip(*set(out))
-            none = [None] * len(a)
-            yield emit(a, c, none, none, none, none)
+        if not len(rows):
+            continue
+        cuts = np.flatnonzero(np.diff(rows[:, 0])) + 1
+        starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(rows)]])
+        last = int(starts[-1])
+        use = (ends - starts > 1) | (starts == last)
+        if open_hot is not None:
+            use |= rows[starts, 0] == open_hot
+        runs, passed = [], []
+        for s, e in zip(starts[use].tolist(), ends[use].tolist()):
+            if e - s > hot or rows[s, 0] == open_hot:
+                passed.append(rows[s:e])
+                open_hot = int(rows[s, 0])
+            elif s != last:
+                runs.append(rows[s:e])
+        left = rows[:0] if open_hot == rows[last, 0] else rows[last:]
+        yield from links(runs)
         if passed:
             p = np.concatenate(passed)
-            yield emit(p[:, 1], [None] * len(p), p[:, 0], p[:, 2], p[:, 3], p[:, 4])
+            yield emit(a=p[:, 1], key=p[:, 0], n=p[:, 2], f0=p[:, 3], f1=p[:, 4], place=p[:, 5])
     if len(left) > 1:
-        out = []
-        links(left, out)
-        if out:
-            a, c = zip(*set(out))
-            none = [None] * len(a)
-            yield emit(a, c, none, none, none, none)
+        yield from links([left])
+
+
+def _trees(rows: DataFrame, similarity: float, hot: int, name: str = "links") -> DataFrame:
+    """_shard_links of rows (key, id, n, f0, f1, place[, stored])."""
+    stored = F.col("stored") if "stored" in rows.columns else F.lit(1)
+    keyed = rows.select("key", F.col("id").alias("a"), "n", "f0", "f1", "place", stored.alias("stored"))
+    return materialize(keyed.repartition("key").sortWithinPartitions("key", "a").mapInArrow(lambda it: _shard_links(it, similarity, hot), _KINDS), name)
 
 
-def _far(x: str, y: str):
-    return F.bit_count(F.col(f"{x}f0").bitwiseXOR(F.col(f"{y}f0"))) + F.bit_count(F.col(f"{x}f1").bitwiseXOR(F.col(f"{y}f1")))
+def _finer(classes: DataFrame, crowded: DataFrame, level: int) -> DataFrame:
+    """The rows of hot shards of `level` words (id, key, place) under keys of one word more: each of those behind the last one
+    of the key at which a similar set can go on."""
+    own = crowded.join(classes, "id")
+    spot = F.col("place") + (level - 1)  # place is less the words before it
+    words = F.slice("keys", spot + 2, F.greatest(F.col("width") + (level - 1) - spot, F.lit(0)))
+    return own.select("id", "n", "f0", "f1", F.col("key").alias("old"), F.col("place"), F.posexplode(words).alias("i", "word")).select(F.xxhash64("old", "word").alias("key"), "id", "n", "f0", "f1", (F.col("place") + F.col("i")).cast("int").alias("place"))
 
 
-def _hot_links(texts: DataFrame, hot: DataFrame, similarity: float, chunk: int) -> DataFrame:
-    """Exact links of hot shards: every record with the shard's first, then those not linked to it with all of the shard.
+def _crowd_links(texts: DataFrame, hot: DataFrame, similarity: float, chunk: int) -> DataFrame:
+    """Exact links of shards that no further word cuts up: every record with the shard's first, then those not linked to it
+    with all of the shard, through BK-trees over chunks of it.
 
-    The second step sends each such record to each chunk of its shard, so that no task holds a shard; records that are
-    linked to the first are connected already and need no links among themselves.
+    Records linked to the first are connected already and need no links among themselves. A chunk's tree is met by as many
+    of the others at a time as it holds itself, so that no task holds a shard.
     """
     ratio = (1 - similarity) / (1 + similarity)
-    near = lambda x, y: _far(x, y) <= (F.col(f"{x}n") + F.col(f"{y}n")) * ratio + 1e-9
-    pivot = hot.groupBy("key").agg(F.min(F.struct("a", "n", "f0", "f1")).alias("p")).select("key", F.col("p.a").alias("pa"), F.col("p.n").alias("pn"), F.col("p.f0").alias("pf0"), F.col("p.f1").alias("pf1"))
-    cand = hot.join(checked_broadcast(pivot), "key").where(F.col("a") > F.col("pa")).where(near("", "p"))
-    first = materialize(exact_links(texts, materialize(cand.select(F.col("pa").alias("a"), F.col("a").alias("b")).distinct(), "hotpairs"), similarity), "hotfirst")
-    done = first.select(F.col("a").alias("pa"), F.col("b").alias("a"))
-    rest = materialize(hot.join(checked_broadcast(pivot.select("key", "pa")), "key").where("a > pa").join(done, ["pa", "a"], "left_anti").select("key", "a", "n", "f0", "f1"), "hotrest")
-    sizes = hot.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"))
-    salted = hot.join(checked_broadcast(sizes), "key").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("chunks")).cast("int")).select("key", "salt", F.col("a").alias("oa"), F.col("n").alias("on"), F.col("f0").alias("of0"), F.col("f1").alias("of1"))
-    asked = rest.join(checked_broadcast(sizes), "key").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
-    found = asked.join(salted, ["key", "salt"]).where("a <> oa").where(near("", "o"))
-    pairs = found.select(F.least("a", "oa").alias("a"), F.greatest("a", "oa").alias("b")).distinct()
-    second = exact_links(texts, materialize(pairs, "hotpairs"), similarity)
-    return first.unionByName(second)
+    pivot = hot.groupBy("key").agg(F.min(F.struct("id", "n", "f0", "f1")).alias("p")).select("key", F.col("p.id").alias("pid"), F.col("p.n").alias("pn"), F.col("p.f0").alias("pf0"), F.col("p.f1").alias("pf1"))
+    far = F.bit_count(F.col("f0").bitwiseXOR(F.col("pf0"))) + F.bit_count(F.col("f1").bitwiseXOR(F.col("pf1")))
+    pivots = checked_broadcast(materialize(pivot, "pivots"))
+    near = hot.join(pivots, "key").where(F.col("id") > F.col("pid")).where(far <= (F.col("n") + F.col("pn")) * ratio + 1e-9)
+    first = materialize(exact_links(texts, materialize(near.select(F.col("pid").alias("a"), F.col("id").alias("b")).distinct(), "crowdpairs"), similarity), "crowdfirst")
+    done = first.select(F.col("a").alias("pid"), F.col("b").alias("id"))
+    rest = materialize(hot.join(pivots, "key").where("id > pid").join(done, ["pid", "id"], "left_anti").select("key", "id", "n", "f0", "f1"), "crowdrest")
+    parts = lambda d, name: d.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias(name))
+    sizes = checked_broadcast(materialize(parts(hot, "chunks").join(parts(rest, "askers"), "key"), "crowdsizes"))
+    salt = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
+    stored = hot.join(sizes, "key").select("key", "id", "n", "f0", "f1", salt("chunks", 1).alias("s"), F.explode(F.sequence(F.lit(0), F.col("askers") - 1)).alias("t"), F.lit(1).alias("stored"))
+    asked = rest.join(sizes, "key").select("key", "id", "n", "f0", "f1", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("s"), salt("askers", 2).alias("t"), F.lit(0).alias("stored"))
+    rows = stored.unionByName(asked).withColumn("key", F.xxhash64("key", "s", "t")).withColumn("place", F.lit(0))
+    pairs = _trees(rows, similarity, 1 << 40, "crowdlinks").where("b is not null").select("a", "b").distinct()
+    return first.unionByName(exact_links(texts, materialize(pairs, "crowdpairs"), similarity))
 
 
 def similar_groups(records: DataFrame, id_col: str = "sample_id", text_col: str = "x", similarity: float = SIMILARITY, min_words: int = MIN_WORDS, hot: int = HOT) -> DataFrame:
@@ -216,22 +256,35 @@ def similar_groups(records: DataFrame, id_col: str = "sample_id", text_col: str
     within the radius in the shard's BK-tree and pass the exact check; linked classes form one group, named by its smallest
     id. No pair is lost: fingerprints are exact lower bounds of the difference, and similar sets share one of their rarest
     words, which are the shard keys. Trees are built where a shard's rows are gathered and not broadcast, as they grow with
-    the data; a shard holds more records as the data grow, where the vocabulary does not; hot shards are
-    cut up (_hot_links). Records with a null id or text or fewer than `min_words` distinct words belong to no group, which
-    covers empty texts; texts count whole; repeated rows of an id are one record. No rows give no groups.
+    the data. A shard of more than `hot` records is cut up by the next word that its similar records share (see _finer), up
+    to DEPTH words; what is then still crowded shares its rarest words and is mostly one group (see _crowd_links). Records with
+    a null id or text or fewer than `min_words` distinct words belong to no group, which covers empty texts; texts count
+    whole; repeated rows of an id are one record. No rows give no groups.
     """
     texts = texts_of(records, id_col, text_col)
     prints = materialize(fingerprints(texts, common_words(texts, COUNTED), min_words, similarity), "prints")
     prints = one_version(prints)
     members = prints.select("set_hash", "id").distinct()
-    classes = prints.groupBy("set_hash").agg(F.min(F.struct("id", "n", "f0", "f1", "keys")).alias("r")).select("r.*")
-    keyed = classes.select(F.posexplode("keys").alias("place", "key"), "id", "n", "f0", "f1").select("key", "id", "n", "f0", "f1", "place")
-    sorted_ = keyed.repartition("key").sortWithinPartitions("key")
-    raw = materialize(sorted_.mapInArrow(lambda it: _shard_links(it, similarity, hot), "a long, b long, key long, n int, f0 long, f1 long"), "links")
-    links = exact_links(texts, materialize(raw.where("b is not null").select("a", "b").distinct(), "pairs"), similarity)
-    crowded = raw.where("b is null").drop("b")
-    if not crowded.isEmpty():
-        links = links.unionByName(_hot_links(texts, crowded, similarity, 8 * hot)).distinct()
+    reach = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9).cast("int") + 1
+    classes = prints.groupBy("set_hash").agg(F.min(F.struct("id", "n", "f0", "f1", "keys")).alias("r")).select("r.*").withColumn("width", reach)
+    classes = materialize(classes, "classes")
+    rows = classes.select("id", "n", "f0", "f1", F.posexplode(F.slice("keys", F.lit(1), F.col("width"))).alias("place", "key"))
+    depth = min(DEPTH, int(np.ceil(similarity * min_words - 1e-9)))  # similar sets share so many words at least
+    parts = []
+    for level in range(1, depth + 1):
+        raw = _trees(rows, similarity, hot)
+        parts.append(raw.where("b is not null").select("a", "b"))
+        crowded = raw.where("b is null").select("key", F.col("a").alias("id"), "n", "f0", "f1", "place")
+        if crowded.isEmpty():
+            break
+        if level < depth:
+            rows = _finer(classes.drop("n", "f0", "f1"), crowded, level)
+        else:
+            parts.append(_crowd_links(texts, crowded, similarity, hot))
+    pairs = parts[0]
+    for p in parts[1:]:
+        pairs = pairs.unionByName(p)
+    links = exact_links(texts, materialize(pairs.distinct(), "pairs"), similarity)
     groups = materialize(connected_groups(links), "groups")
     reps = members.groupBy("set_hash").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"))
     named = reps.join(groups.withColumnRenamed("id", "rep"), "rep", "left").where("size > 1 or group is not null").select("set_hash", F.coalesce("group", "rep").alias("group_id"))

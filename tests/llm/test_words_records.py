@@ -166,16 +166,61 @@ def test_versions_of_one_id(spark):
     assert len({r.group_id for r in edits.similar_groups(table(spark, rows)).collect()}) == 1
 
 
-def test_bk_tree_equals_scan():
-    rng = random.Random(1)
-    codes = [rng.getrandbits(24) for _ in range(300)] + [5, 5]
-    tree = edits.BKTree()
-    assert tree.within(3, 99) == []
-    for i, c in enumerate(codes):
-        tree.add(c, i)
-    for q in codes[:40]:
-        for r in (0, 3, 8):
-            assert sorted(tree.within(q, r)) == [i for i, c in enumerate(codes) if (c ^ q).bit_count() <= r]
+@pytest.mark.parametrize("bits", [3, 24, 128])
+def test_bk_forest_equals_scan(bits):
+    rng = np.random.default_rng(bits)
+    shard = np.sort(rng.integers(0, 12, 400))
+    bit = (rng.random((400, 128)) < 0.5) & (np.arange(128) < bits)
+    codes = np.packbits(bit, axis=1).view(np.uint64)
+    far = (bit[:, None] != bit[None]).sum(2)
+    same = shard[:, None] == shard[None]
+    radius = rng.integers(0, 40, 400)
+    stored = rng.random(400) < 0.6
+    for mask, queries, earlier in ((None, np.arange(400), True), (stored, np.flatnonzero(~stored), False)):
+        forest = edits.BKForest(shard, codes, mask)
+        got = {(x, y, d) for part in forest.within(queries, radius[queries], earlier) for x, y, d in zip(*(c.tolist() for c in part))}
+        held = np.ones(400, bool) if mask is None else mask
+        assert got == {(x, y, far[x, y]) for x in queries.tolist() for y in range(400) if same[x, y] and held[y] and far[x, y] <= radius[x] and (y < x or not earlier)}
+
+
+def test_twenty_thousand_records_of_few_words(spark):
+    """Sets of 12 of 45 words: every word's shard holds thousands of records, and few of them are similar."""
+    rng = np.random.default_rng(2)
+    sets = np.zeros((20_000, 45), np.float32)
+    np.put_along_axis(sets, rng.random((20_000, 45)).argsort(axis=1)[:, :12], 1, axis=1)
+    sets[10_000:10_400] = sets[:400]
+    sets[np.arange(10_000, 10_200), sets[10_000:10_200].argmax(1)] = 0
+    rows = [(i, "train", " ".join(f"w{j}" for j in np.flatnonzero(s))) for i, s in enumerate(sets)]
+    size, links = sets.sum(1), []
+    for low in range(0, len(sets), 2000):
+        both = sets[low : low + 2000] @ sets.T
+        x, y = np.nonzero(both >= 0.8 * (size[low : low + 2000, None] + size - both) - 1e-6)
+        links += [(int(a + low), int(b)) for a, b in zip(x, y) if a + low < b]
+    group = list(range(len(sets)))
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for a, b in links:
+        a, b = sorted((root(a), root(b)))
+        group[b] = a
+    linked = {i for pair in links for i in pair}
+    got = {tuple(r) for r in edits.similar_groups(table(spark, rows)).collect()}
+    assert got == {(root(i), i) for i in linked} and len(got) >= 800
+
+
+def test_crowd_of_edited_copies(spark):
+    """Thousands of records that differ in a word or two are one group, and others beside them keep their own."""
+    rng = random.Random(4)
+    base = [f"base{i}" for i in range(30)]
+    rows = [(i, "train", " ".join(base[: 28 + i % 3] + [f"own{i % 700}", f"more{i}"][: i % 3])) for i in range(3000)]
+    rows += [(5000 + 2 * i + j, "val", " ".join(base[:20] + [f"o{i}x{k}" for k in range(12 + j)])) for i in range(40) for j in range(2)]
+    rng.shuffle(rows)
+    got = {tuple(r) for r in edits.similar_groups(table(spark, rows), hot=64).collect()}
+    assert {g for g, i in got if i < 5000} == {0} and sum(i < 5000 for _, i in got) == 3000
+    assert {(g, i) for g, i in got if i >= 5000} == {(5000 + 2 * i, 5000 + 2 * i + j) for i in range(40) for j in range(2)}
 
 
 def test_passages_survive_every_similar_record():
