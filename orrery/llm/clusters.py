@@ -350,7 +350,7 @@ def describe_clusters(members: DataFrame, valid: DataFrame, typical: int = 5) ->
     size, its labels (null and negative ones do not count) and the ids of its `typical` most typical members, ties to the
     smaller id. Members are not ranked in one task: each of 64 slices gives its best first."""
     slice_ = F.pmod(F.xxhash64("vec_id"), F.lit(64))
-    order = [F.desc(F.round("cos", 9)), F.asc("vec_id")]
+    order = [F.desc(F.round("cos", 6)), F.asc("vec_id")]
     first = members.withColumn("slice", slice_).withColumn("n", F.row_number().over(Window.partitionBy("cluster_id", "slice").orderBy(*order))).where(F.col("n") <= typical)
     best = first.withColumn("n", F.row_number().over(Window.partitionBy("cluster_id").orderBy(*order))).where(F.col("n") <= typical)
     most = best.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("n", "vec_id"))).alias("t")).select("cluster_id", F.col("t.vec_id").alias("typical"))  # `typical` rows

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -29,15 +30,25 @@ def _encoding(path: str):
     return tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_counter(path: str) -> Callable[[str], int]:
-    """Counts tokens with a byte-level BPE vocabulary file. Texts over 20,000 characters are cut at line ends before
-    encoding, as the splitting pattern takes long on huge runs; every character is counted."""
-    encode = _encoding(path).encode_ordinary
+#: White space as the splitting pattern knows it (fixed values).
+_BLANK = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+
+
+def token_counter(path: str, run: int = 5_000) -> Callable[[str], int]:
+    """Counts tokens with a byte-level BPE vocabulary file, of texts of any length by one rule.
+
+    Runs of `run` or more blanks overflow the stack of the matcher, so they are cut out as the pattern would: the whole run
+    at the end of the text, else all but its last blank, is one piece, and the rest goes on from there. The counts are the same."""
+    encoding = _encoding(path)
+    encode, blanks = encoding.encode_ordinary, re.compile(f"{_BLANK}{{{run},}}")
 
     def count(text: str) -> int:
-        if len(text) <= 20_000:
-            return len(encode(text))
-        return sum(len(encode(line[i : i + 20_000])) for line in text.splitlines(keepends=True) for i in range(0, len(line), 20_000))
+        n, at = 0, 0
+        for m in blanks.finditer(text):
+            end = m.end() if m.end() == len(text) else m.end() - 1
+            n += len(encode(text[at : m.start()])) + len(encoding._encode_single_piece(text[m.start() : end]))
+            at = end
+        return n + len(encode(text[at:]))
 
     return count
 
@@ -66,8 +77,8 @@ def mixture(sizes: DataFrame, targets: DataFrame, seed: int = 5) -> tuple[DataFr
     with a third of all documents is no single task.
 
     mix: (mix_id, doc_id, source, n_tokens, copies), copies > 0. report: (mix_id, source, weight, max_repeats,
-    target_tokens, source_tokens, actual_tokens, actual_share, capped); `capped` where max_repeats copies of the whole source
-    stay under the target. Documents repeat by id: the first by size is kept. Null ids are left out; a null weight or
+    target_tokens, source_tokens, actual_tokens, actual_share, capped); `capped` where every document of the source came out
+    max_repeats times and their tokens stay under the target. Documents repeat by id: the first by size is kept. Null ids are left out; a null weight or
     repeat count is 0; sources of `targets` without documents are reported with 0 tokens. Empty in, empty out.
     """
     docs = sizes.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.struct("n_tokens", "source")).alias("r")).select("doc_id", "r.source", "r.n_tokens").withColumn("at", hash_order(seed, "doc_id"))
@@ -79,8 +90,7 @@ def mixture(sizes: DataFrame, targets: DataFrame, seed: int = 5) -> tuple[DataFr
         asked.join(per, "source", "left")
         .withColumn("source_tokens", F.coalesce("source_tokens", F.lit(0)))
         .withColumn("target_tokens", F.col("weight") * F.col("budget_share") * F.lit(total))
-        .withColumn("capped", F.col("max_repeats") * F.col("source_tokens") < F.col("target_tokens"))
-        .withColumn("expected", F.least(F.col("max_repeats").cast("double"), F.coalesce(F.try_divide("target_tokens", "source_tokens"), F.lit(0.0))))
+        .withColumn("expected", F.least(F.col("max_repeats").cast("double"), F.coalesce(F.try_divide("target_tokens", "source_tokens"), F.when(F.col("target_tokens") > 0, F.col("max_repeats").cast("double")), F.lit(0.0))))
         .withColumn("offset", F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "mix_id", "source")), 1, 12), 16, 10).cast("double") / float(16**12))
     )
     plan = materialize(plan, "plan")
@@ -92,10 +102,12 @@ def mixture(sizes: DataFrame, targets: DataFrame, seed: int = 5) -> tuple[DataFr
         .select("mix_id", "doc_id", "source", "n_tokens", "copies")
     )
     mix = materialize(mix, "mixture")
-    got = mix.groupBy("mix_id", "source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("actual_tokens"))
+    got = mix.groupBy("mix_id", "source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("actual_tokens"), F.count(F.lit(1)).alias("emitted"), F.min("copies").alias("least"))
+    spent = (F.col("max_repeats") <= 0) | (F.coalesce("n_docs", F.lit(0)) == 0) | ((F.col("emitted") == F.col("n_docs")) & (F.col("least") == F.col("max_repeats")))
     report = (
         plan.join(got, ["mix_id", "source"], "left")
         .withColumn("actual_tokens", F.coalesce("actual_tokens", F.lit(0)))
+        .withColumn("capped", F.coalesce(spent, F.lit(False)) & (F.col("actual_tokens") < F.col("target_tokens")))
         .withColumn("actual_share", F.try_divide(F.col("actual_tokens").cast("double"), F.sum("actual_tokens").over(Window.partitionBy("mix_id")).cast("double")))
         .select("mix_id", "source", "weight", "max_repeats", "target_tokens", "source_tokens", "actual_tokens", "actual_share", "capped")
     )

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from orrery.llm.wordsets import MIN_WORDS, SIMILARITY, Hasher, common_words, exact_links, mix, one_version, set_hash, texts_of
 from orrery.runtime import checked_broadcast, materialize
 
-#: A word is CODE letters of 6 bits; passages per automaton; words of a passage at most; share of records from which a word's
-#: commonness is told apart; words from which a form is cut evenly.
-CODE, SHARD, LONGEST, COMMON, WIDE = 3, 150_000, 6, 0.02, 512
+#: A word is CODE letters of 6 bits; passages per automaton; training pieces that one automaton reads, about; words of a passage
+#: at most; share of records from which a word's commonness is told apart; words from which a form is cut evenly.
+CODE, SHARD, PIECES, LONGEST, COMMON, WIDE = 3, 150_000, 120_000, 6, 0.02, 512
 _LETTERS = np.frombuffer(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+-", np.uint8)
 _SPAN = 64**CODE
 
@@ -117,12 +117,23 @@ def passages(levels: np.ndarray, sizes: np.ndarray, n: np.ndarray, similarity: f
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
-def _cut(batches: Iterator[pa.RecordBatch], shards: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    """Normal forms as (shard, kind, ids, n, sketches, sizes, letters), one row per batch, shard and kind with all its pieces.
+def copies_of(shards: int, common: tuple[np.ndarray, np.ndarray], records: int, mean: float, pieces: int = PIECES) -> np.ndarray:
+    """By how many tasks the training pieces of each shard are read, each with a copy of its automaton: about one for every
+    `pieces` records that hold a word of the shard's range. Common words are counted, the others spread by their hash."""
+    words, shares = common
+    held = np.bincount(((words % np.uint64(_SPAN)).astype(np.int64) * shards // _SPAN), shares, minlength=shards)
+    held = np.minimum(held + max(mean - shares.sum(), 0.0) / shards, 1.0)
+    return np.maximum(np.ceil(records * held / pieces), 1).astype(np.int64)
+
+
+def _cut(batches: Iterator[pa.RecordBatch], copies: np.ndarray, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Normal forms as (task, kind, ids, n, sketches, sizes, letters), one row per batch, task and kind with all its pieces.
+    The tasks of a shard follow each other: passages go to all of them, the training pieces of a batch to one.
 
     A shard is a range of codes. Kind 0, held out: the passages that begin in the range. Kind 1, training: the codes in the
     range and the LONGEST - 1 after them, in which every passage of the shard that the text holds stands whole.
     """
+    shards, task = len(copies), np.cumsum(copies) - copies
     for b in batches:
         codes = b.column("codes")
         off = codes.offsets.to_numpy()
@@ -140,11 +151,15 @@ def _cut(batches: Iterator[pa.RecordBatch], shards: int, similarity: float) -> I
         pick = train[row[start]]
         start, end = start[pick], end[pick]
         end = np.minimum(end + LONGEST - 1, (first_of + sizes)[row[start]])
-        yield from _pack(flat, start, end, shard[start], 1, ids[row[start]], n[row[start]], sketch[row[start]])
+        turn = int(mix(ids[:1].astype(np.uint64), 55)[0] >> np.uint64(33))
+        yield from _pack(flat, start, end, (task + turn % copies)[shard[start]], 1, ids[row[start]], n[row[start]], sketch[row[start]])
         own = np.flatnonzero(held)
         r, start, end = passages(level[held[row]], sizes[own], n[own], similarity)
         start, end = start + first_of[own][r], end + first_of[own][r]
-        yield from _pack(flat, start, end, shard[start], 0, ids[row[start]], n[row[start]], sketch[row[start]])
+        times = copies[shard[start]]
+        start, end = np.repeat(start, times), np.repeat(end, times)
+        nth = np.arange(len(start)) - np.repeat(np.cumsum(times) - times, times)
+        yield from _pack(flat, start, end, task[shard[start]] + nth, 0, ids[row[start]], n[row[start]], sketch[row[start]])
 
 
 def _pack(flat: np.ndarray, start: np.ndarray, end: np.ndarray, shard: np.ndarray, kind: int, ids: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -217,18 +232,21 @@ def _scan(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.R
             yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2], pa.int32())], names=["train_id", "held_id", "words"])
 
 
-def coverage(forms: DataFrame, shard_size: int = SHARD, similarity: float = SIMILARITY) -> DataFrame:
+def coverage(forms: DataFrame, common: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0)), shard_size: int = SHARD, similarity: float = SIMILARITY, pieces: int = PIECES) -> DataFrame:
     """(train_id, held_id, covered): held-out records of which a training record holds passages, and how many words of theirs
-    the matched passages cover. Passages of a record are disjoint, so that merging their intervals adds up their words."""
-    spark = forms.sparkSession
-    number = forms.where("held").agg(F.coalesce(F.sum(F.floor((1 / similarity - 1) * F.col("n")) + 1), F.lit(0))).first()[0]
+    the matched passages cover. Passages of a record are disjoint, so that merging their intervals adds up their words. The
+    range of a word that nearly every text holds is read by several tasks (see copies_of)."""
+    passages_of = F.when(F.col("held"), F.floor((1 / similarity - 1) * F.col("n")) + 1)
+    number, records, mean = forms.agg(F.coalesce(F.sum(passages_of), F.lit(0)), F.count(F.when(F.col("train"), 1)), F.coalesce(F.avg(F.when(F.col("train"), F.col("n"))), F.lit(0.0))).first()
     shards = min(max(6, -(-number // shard_size)), _SPAN // 64)
-    packed = forms.mapInArrow(lambda it: _cut(it, shards, similarity), "shard int, kind int, ids binary, n binary, sketches binary, sizes binary, letters binary")
+    copies = copies_of(shards, common, records, float(mean), pieces)
+    shards = int(copies.sum())
+    packed = forms.mapInArrow(lambda it: _cut(it, copies, similarity), "shard int, kind int, ids binary, n binary, sketches binary, sizes binary, letters binary")
     found = packed.repartitionById(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(lambda it: _scan(it, similarity), "train_id long, held_id long, words int")
     return found.groupBy("train_id", "held_id").agg(F.sum("words").alias("covered"))
 
 
-def cross_split_overlaps(records: DataFrame, id_col: str = "sample_id", text_col: str = "x", split_col: str = "split", train: str = "train", held: tuple[str, ...] = ("val", "test"), similarity: float = SIMILARITY, min_words: int = MIN_WORDS, shard_size: int = SHARD) -> DataFrame:
+def cross_split_overlaps(records: DataFrame, id_col: str = "sample_id", text_col: str = "x", split_col: str = "split", train: str = "train", held: tuple[str, ...] = ("val", "test"), similarity: float = SIMILARITY, min_words: int = MIN_WORDS, shard_size: int = SHARD, pieces: int = PIECES) -> DataFrame:
     """(sample_id_a, sample_id_b): pairs of a training and a held-out record with a Jaccard index of at least `similarity`.
 
     Texts are brought to a normal form (see normalised); the passages of the held-out forms are sharded by ranges of their
@@ -243,21 +261,36 @@ def cross_split_overlaps(records: DataFrame, id_col: str = "sample_id", text_col
     text or fewer than `min_words` distinct words, so empty texts too, do not count; repeated rows of an id count once. A
     record with rows of several splits takes part in each, but is never paired with itself.
     """
+    found = overlaps(records, id_col, text_col, split_col, train, held, similarity, min_words, shard_size, pieces)
+    return found.select(F.least("train_id", "held_id").alias("sample_id_a"), F.greatest("train_id", "held_id").alias("sample_id_b")).distinct()
+
+
+def held_coverage(records: DataFrame, **options) -> DataFrame:
+    """(held_id, n_words, train_records, covered, covered_part): every held-out record that a training record repeats, by how
+    many of them, and how many of its words the matched passages of one cover at most (all where the word sets are equal; a
+    lower bound otherwise, as only passages count that stand whole). Options and cases: see cross_split_overlaps."""
+    per = overlaps(records, **options).groupBy("held_id").agg(F.max("held_words").alias("n_words"), F.countDistinct("train_id").alias("train_records"), F.max("covered").alias("covered"))
+    return per.select("held_id", "n_words", "train_records", "covered", (F.col("covered") / F.col("n_words")).alias("covered_part"))
+
+
+def overlaps(records: DataFrame, id_col: str = "sample_id", text_col: str = "x", split_col: str = "split", train: str = "train", held: tuple[str, ...] = ("val", "test"), similarity: float = SIMILARITY, min_words: int = MIN_WORDS, shard_size: int = SHARD, pieces: int = PIECES) -> DataFrame:
+    """(train_id, held_id, held_words, covered) of the pairs that cross_split_overlaps gives."""
     split = F.lower(F.trim(split_col))
     texts = texts_of(records, id_col, text_col, F.coalesce(split == train, F.lit(False)).alias("train"), F.coalesce(split.isin(*held), F.lit(False)).alias("held")).where("train or held")
-    forms = materialize(normalised(texts, common_words(texts, COMMON), min_words), "forms")
+    common = common_words(texts, COMMON)
+    forms = materialize(normalised(texts, common, min_words), "forms")
     forms = one_version(forms)
-    sides = [F.max(c).alias(c) for c in ("train", "held")]
+    sides = [F.max(c).alias(c) for c in ("train", "held", "n")]
     ids = forms.groupBy("set_hash", "id").agg(*sides)
     classes = ids.groupBy("set_hash").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    copies = materialize(ids.join(classes, "set_hash").select("rep", "id", "train", "held"), "copies")
+    copies = materialize(ids.join(classes, "set_hash").select("rep", "id", "train", "held", "n"), "copies")
     roles = copies.groupBy(F.col("rep").alias("id")).agg(F.max("train").alias("t"), F.max("held").alias("h"))
     own = forms.join(checked_broadcast(copies.where("id <> rep").select("id").distinct()), "id", "left_anti").join(checked_broadcast(roles), "id", "left")
     own = own.select("id", F.coalesce("t", "train").alias("train"), F.coalesce("h", "held").alias("held"), "n", "sketch", "codes")
-    pairs = materialize(coverage(own, shard_size, similarity).select(F.col("train_id").alias("a"), F.col("held_id").alias("b")), "pairs")
+    pairs = materialize(coverage(own, common, shard_size, similarity, pieces).select(F.col("train_id").alias("a"), F.col("held_id").alias("b"), "covered"), "pairs")
     links = materialize(exact_links(texts, pairs, similarity), "links")
     in_train = copies.where("train").select(F.col("rep").alias("a"), F.col("id").alias("x"))
-    in_held = copies.where("held").select(F.col("rep").alias("b"), F.col("id").alias("y"))
-    apart = links.join(in_train, "a", "left").join(in_held, "b", "left").select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"))
-    equal = in_train.join(in_held, F.col("a") == F.col("b")).select("x", "y")
-    return apart.unionByName(equal).where("x <> y").select(F.least("x", "y").alias("sample_id_a"), F.greatest("x", "y").alias("sample_id_b")).distinct()
+    in_held = copies.where("held").select(F.col("rep").alias("b"), F.col("id").alias("y"), "n")
+    apart = links.join(in_train, "a", "left").join(in_held.drop("n"), "b", "left").join(own.select(F.col("id").alias("b"), "n"), "b").select(F.coalesce("x", "a").alias("train_id"), F.coalesce("y", "b").alias("held_id"), F.col("n").alias("held_words"), F.col("covered").cast("int").alias("covered"))
+    equal = in_train.join(in_held, F.col("a") == F.col("b")).select(F.col("x").alias("train_id"), F.col("y").alias("held_id"), F.col("n").alias("held_words"), F.col("n").alias("covered"))
+    return apart.unionByName(equal).where("train_id <> held_id")

@@ -89,7 +89,23 @@ def allocate(counts: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def proportional_sample(samples: DataFrame, requests: DataFrame, seed: int = 17) -> tuple[DataFrame, DataFrame]:
-    """(sample, report) for every request.
+    """(sample, report) for every request; see drawn."""
+    return drawn(samples, requests, seed)[:2]
+
+
+def unmet(samples: DataFrame, requests: DataFrame, seed: int = 17) -> DataFrame:
+    """(target_id, y, asked, met): requested categories whose ranks run out before what is asked of them, the greater of
+    `min_rows` and `wanted`. Every rank of a category has its priority in the draw; `met` counts those up to what is asked."""
+    _, report, ranked = drawn(samples, requests, seed)
+    asked = report.select("target_id", "y", F.greatest(F.col("min_rows").cast("double"), "wanted").alias("asked"))
+    # no more ranks than are asked for take part, whatever the size of the category
+    within = ranked.select("y", "rank_no").join(F.broadcast(asked), "y").where(F.col("rank_no") < F.col("asked") + 1)  # as many rows as categories are asked for
+    met = within.groupBy("target_id", "y").agg(F.count(F.lit(1)).alias("met"))
+    return asked.join(met, ["target_id", "y"], "left").withColumn("met", F.coalesce("met", F.lit(0))).where("met < asked")
+
+
+def drawn(samples: DataFrame, requests: DataFrame, seed: int = 17) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sample, report, ranked) for every request, `ranked` being the records of the pool with their random rank in the category.
 
     Sample: (target_id, sample_id, y, rank_no, priority), the `seats` records of each category that come first in a random
     order fixed by `seed`. The rank inside a category is exact and spread over slices (see spread_rank), so that the
@@ -99,11 +115,12 @@ def proportional_sample(samples: DataFrame, requests: DataFrame, seed: int = 17)
     pool = materialize(labelled_pool(samples).withColumn("at", hash_order(seed, "sample_id")), "pool")
     report = materialize(allocate(pool.groupBy("y").agg(F.count(F.lit(1)).alias("available")), requests), "seats")
     most = report.groupBy("y").agg(F.max("seats").alias("most"))
-    ranked = spread_rank(pool, ["y"], "at", "rank_no", ["sample_id"]).join(F.broadcast(most), "y").where("rank_no <= most")
+    every = spread_rank(pool, ["y"], "at", "rank_no", ["sample_id"])
+    ranked = every.join(F.broadcast(most), "y").where("rank_no <= most")
     seats = report.select("target_id", "y", "target_share", "seats")
     sample = (
         ranked.join(F.broadcast(seats), "y")  # as many rows as categories are asked for
         .where("rank_no <= seats")
         .select("target_id", "sample_id", "y", "rank_no", F.try_divide(F.col("rank_no") - 0.5, F.col("target_share")).alias("priority"))
     )
-    return sample, report
+    return sample, report, every

@@ -12,8 +12,8 @@ from orrery.llm.edits import similar_groups
 from orrery.llm.leaks import leaked_spans, remove_leaks
 from orrery.llm.mixing import mixture, token_sizes
 from orrery.llm.neighbours import nearest
-from orrery.llm.overlap import cross_split_overlaps
-from orrery.llm.proportional import proportional_sample
+from orrery.llm.overlap import cross_split_overlaps, held_coverage
+from orrery.llm.proportional import proportional_sample, unmet
 from orrery.llm.spans import shared_amounts, shared_spans
 from orrery.llm.subset import varied_subset
 from orrery.llm.vectors import valid_vectors
@@ -50,13 +50,20 @@ def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(source, "held_id").groupBy("split", "source").agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("held_id").alias("held_records"))
 
 
+def p3_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each leaked held-out record stands in training, with its split and source."""
+    records = table(spark, sf_dir, "samples")
+    split = F.lower(F.trim("split"))
+    about = records.where(split.isin("val", "test")).groupBy(F.col("sample_id").alias("held_id")).agg(F.min(split).alias("split"), F.min("source").alias("source"))
+    return held_coverage(records).join(about, "held_id")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(table(spark, sf_dir, "samples"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, report = proportional_sample(table(spark, sf_dir, "samples"), table(spark, sf_dir, "sample_targets"))
-    return report.where("short").select("target_id", F.col("y").cast("long").alias("y"))
+    return unmet(table(spark, sf_dir, "samples"), table(spark, sf_dir, "sample_targets")).select("target_id", F.col("y").cast("long").alias("y"))
 
 
 def p5_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +86,8 @@ def p6_neighbours(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     metric = spaces.select("space_id", F.coalesce("metric", F.lit("cosine")).alias("metric"))
     asked = valid.where("vec_id % 100 = 0").join(F.broadcast(metric), "space_id").select(F.col("vec_id").alias("query_id"), "space_id", "vec_id", F.lit(k).alias("k"), "metric")  # the catalog of spaces
     found = nearest(valid, asked).join(valid.select("vec_id", F.col("vec_offset").alias("nbr_offset"), "space_id"), "vec_id").join(F.broadcast(metric), "space_id")
-    return found.select("query_id", "rank_no", "nbr_offset", F.when(F.col("metric") == "l2", -F.col("score")).otherwise(F.col("score")).alias("distance"))
+    distance = F.when(F.col("metric") == "l2", -F.col("score")).otherwise(F.col("score"))
+    return found.select("query_id", "rank_no", "nbr_offset", (F.round(distance, 6) + F.lit(0.0)).alias("distance"))
 
 
 def p6_missed(spark: SparkSession, sf_dir: str) -> DataFrame:

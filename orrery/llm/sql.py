@@ -129,3 +129,32 @@ ORACLES["p9_found"] = """
 with w as (select doc_id, md5(substring(text, i::int, 300)) as h from (select doc_id, text, unnest(range(1, len(text) - 298)) as i from documents where len(text) >= 300)),
 g as (select h, list(distinct doc_id) as ids from w group by h having count(distinct doc_id) > 1)
 select distinct a as doc_id_a, b as doc_id_b from (select a, unnest(ids) as b from (select ids, unnest(ids) as a from g)) where a < b"""
+
+ORACLES["p6_neighbours"] = f"""
+with {_VALID},
+kinds as (select space_id, coalesce(metric, 'cosine') as metric from spaces),
+scored as (
+  select a.vec_id as query_id, b.vec_id, b.vec_offset as nbr_offset, q.metric, {_SCORE.format(m='q.metric')} as score
+  from valid a join kinds q using (space_id) join valid b on b.space_id = a.space_id and b.vec_id <> a.vec_id where a.vec_id % 100 = 0),
+ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as n from scored)
+select query_id, (n - 1)::int as rank_no, nbr_offset, round(case when metric = 'l2' then -score else score end, 6) + 0.0 as distance from ranked where n <= 10"""
+
+_CLUSTERS = ORACLES["p2_found"][: ORACLES["p2_found"].index("select distinct min(vec_id)")]
+ORACLES["p2_clusters"] = f"""{_CLUSTERS.rstrip()},
+named as (select l, min(vec_id) as cluster_id from cos where l in (select l from good) group by l),
+one as (select cluster_id, min(l) as l from named group by cluster_id),
+members as (select o.cluster_id, c.vec_id, round(c.c, 6) as c, v.space_id, v.label from one o join cos c using (l) join valid v using (vec_id)),
+labels as (select space_id, cluster_id, label, count(*) as n from members group by all),
+per as (
+  select space_id, cluster_id, sum(n)::bigint as size, count(*) filter (label >= 0) as n_labels, arg_max(label, n * 100000 - label) filter (label >= 0) as main_label, max(n) filter (label >= 0) as most
+  from labels group by all),
+best as (select cluster_id, list(vec_id order by n) as typical from (select *, row_number() over (partition by cluster_id order by c desc, vec_id) as n from members) where n <= 5 group by 1)
+select space_id, cluster_id, size, n_labels, main_label, most / size as main_share, typical from per join best using (cluster_id)"""
+
+ORACLES["p9_shared_amounts"] = """
+with w as (select doc_id, i, md5(substring(text, i::int, 300)) as h from (select doc_id, text, unnest(range(1, len(text) - 298)) as i from documents where len(text) >= 300)),
+g as (select h from w group by h having count(distinct doc_id) > 1),
+s as (select doc_id, i, lag(i) over spot as before, lead(i) over spot as after from w where h in (select h from g) window spot as (partition by doc_id order by i))
+select s.doc_id, any_value(len(d.text)) as n_chars, sum(least(300, coalesce(after - i, 300)))::bigint as shared_chars, sum(least(300, coalesce(after - i, 300))) / any_value(len(d.text)) as shared_part,
+  count(*) filter (before is null or i > before + 300) as n_spans
+from s join documents d on d.doc_id = s.doc_id group by s.doc_id"""

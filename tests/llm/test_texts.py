@@ -66,7 +66,14 @@ def test_token_sizes_and_mixture(spark):
     docs = documents(spark, rows)
     sizes = mixing.token_sizes(docs)
     got = {r.doc_id: r.n_tokens for r in sizes.collect()}
-    count = mixing.token_counter(f"{mixing.TOKENIZERS}/byte_bpe_50k.tiktoken")
+    path = f"{mixing.TOKENIZERS}/byte_bpe_50k.tiktoken"
+    count = mixing.token_counter(path)
+    whole, cut = mixing.token_counter(path, 10**9), mixing.token_counter(path, 7)
+    pick = random.Random(1)
+    for _ in range(100):
+        t = "".join(pick.choice(["a", "Bc", " ", "\n", " " * 9, "\t" * 8, "\u3000" * 9, ".", "1", "\xa0" * 7, "\x1f" * 9]) for _ in range(60))
+        assert whole(t) == cut(t)
+    assert count(" " * 2_000_000 + "x" + "\n" * 100_000) > 100_000
     assert got[700] == 0 and got[701] == 0 and 702 not in got and got[703] > 1000
     assert all(got[i] == count(t) for i, t, _ in rows[:50])
     targets = spark.createDataFrame([(1, "big", 0.3, 1, 0.5), (1, "small", 0.7, 2, 0.5), (2, "big", 0.9, 2, 1.2), (2, "none", 0.1, 3, 1.2), (None, "big", 1.0, 1, 1.0), (3, "small", None, 1, 1.0)], "mix_id long, source string, weight double, max_repeats int, budget_share double")

@@ -255,6 +255,7 @@ def test_proportions(spark):
     pool = {0: 300, 1: 30, 2: 6}
     assert all(r.available == pool.get(k[1], 0) and r.pool_rows == 336 for k, r in rep.items())
     assert {k for k, r in rep.items() if r.short} == {k for k, (s, f, m) in {(a, b): (s or 0, f or 0, m or 0) for a, b, s, f, m in asks if a}.items() if pool.get(k[1], 0) < max(m, s * f * 336)}
+    assert {(r.target_id, r.y) for r in proportional.unmet(samples(spark, rows), requests).collect()} == {k for k, r in rep.items() if r.short}
     assert sum(r.seats for k, r in rep.items() if k[0] == 1) == 168 and rep[1, 1].seats == 30 and rep[1, 2].seats == 6 and rep[1, 0].seats == 132
     assert rep[2, 2].seats == 6 and rep[2, 1].seats >= 4 and sum(r.seats for k, r in rep.items() if k[0] == 2) == 33
     assert rep[3, 7].seats == 0 and rep[4, 0].seats == 0 and rep[5, 0].seats == 300

@@ -105,6 +105,23 @@ def test_overlaps_over_many_shards(spark):
     assert got == brute_pairs(rows)
 
 
+def test_ranges_read_by_several_tasks(spark):
+    rows = made(200, 5)
+    got = {tuple(r) for r in overlap.cross_split_overlaps(table(spark, rows), shard_size=100, pieces=15).collect()}
+    assert got == brute_pairs(rows)
+    copies = overlap.copies_of(8, (np.array([5], np.uint64), np.array([0.9])), 1000, 20.9, 100)
+    assert copies[0] == 10 and (copies[1:] == 10).all() and overlap.copies_of(1000, (np.array([5], np.uint64), np.array([0.9])), 1000, 20.9, 100)[:2].tolist() == [10, 1]
+
+
+def test_coverage(spark):
+    words = [f"w{i}" for i in range(40)]
+    rows = [(1, "train", " ".join(words)), (2, "test", " ".join(words[::-1])), (3, "val", " ".join(words[:38] + ["new"])), (4, "val", " ".join(f"x{i}" for i in range(20))), (5, "train", " ".join(words[1:]))]
+    got = {r.held_id: r for r in overlap.held_coverage(table(spark, rows)).collect()}
+    assert set(got) == {2, 3} and got[2].covered == got[2].n_words == 40 and got[2].covered_part == 1.0 and got[2].train_records == 2
+    assert got[3].n_words == 39 and 0 < got[3].covered <= 38
+    assert overlap.held_coverage(table(spark, rows).limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("seed", [0, 1])
 def test_groups_equal_brute_force(spark, seed):
     rows = made(seed=seed) + EDGES
