@@ -24,6 +24,8 @@ LINK, LINKS, BLOCK = 0.45, 8, 8192
 #: Least cosines that the gathering of a label starts from, each by itself; how much they rise a round, and to where: between the
 #: members of a cluster and all other vectors. Most rounds; cosine from which two mean directions are one.
 STARTS, RISE, MIDDLE, ROUNDS, EQUAL = (0.35, 0.45, 0.55), 0.1, 0.625, 20, 1 - 1e-6
+#: Mean directions per broadcast.
+MEANS = 20_000
 #: A cluster: least rows, least cosine of a member to the mean direction, cosine that no other vector reaches.
 LEAST, INNER, OUTER = 5, 0.75, 0.5
 
@@ -265,9 +267,17 @@ def _recruit(vectors: DataFrame, means: DataFrame, spaces: list[str], outer: flo
     """With `outer` null: (space_id, label, total, n), the sums of the vectors with a cosine of `least` or more to each mean.
     Else (space_id, label, vec_id, cos) of all vectors with a cosine of `outer` or more to a mean."""
     spark = vectors.sparkSession
-    parts = []
+    parts, blocks = [], []
+    held = {r.space_id: r["count"] for r in means.groupBy("space_id").count().toLocalIterator()}
     for group in _groups(spark, spaces, SPACES):
-        frame = means.where(F.col("space_id").isin(group)).toPandas().rename(columns={"label": "vec_id"})
+        n = -(-sum(held.get(s, 0) for s in group) // MEANS)
+        blocks += [(group, n, i) for i in range(n)]
+    kinds = "space_id string, label string, total array<double>, n double" if outer is None else "space_id string, label string, vec_id long, cos double"
+    if not blocks:
+        return spark.createDataFrame([], kinds)
+    for group, n, i in blocks:
+        some = means.where(F.col("space_id").isin(group)).where(F.pmod(F.xxhash64("label"), F.lit(n)) == i)
+        frame = some.toPandas().rename(columns={"label": "vec_id"})
         shared = spark.sparkContext.broadcast({s: (n, u.astype(np.float64), frame["least"].to_numpy()[frame["space_id"] == s]) for s, (n, u) in _stacked(frame).items()})
         own = vectors.where(F.col("space_id").isin(list(frame["space_id"].unique())))
 
@@ -295,7 +305,11 @@ def _recruit(vectors: DataFrame, means: DataFrame, spaces: list[str], outer: flo
                     row, label = np.nonzero(cos >= outer)
                     yield pa.RecordBatch.from_arrays([pa.array([space] * len(row), pa.string()), pa.array(names[label]), pa.array(ids[row]), pa.array(cos[row, label])], names=["space_id", "label", "vec_id", "cos"])
 
-        parts.append(own.mapInArrow(add, "space_id string, label string, total array<double>, n double") if outer is None else own.mapInArrow(close, "space_id string, label string, vec_id long, cos double"))
+        part = own.mapInArrow(add if outer is None else close, kinds)
+        if len(blocks) > 1:  # one block of means is held at a time
+            part = materialize(part, "gathered")
+            shared.unpersist()
+        parts.append(part)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

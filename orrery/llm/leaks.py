@@ -107,19 +107,21 @@ def remove_leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id",
             for doc, text, own in zip(f["doc_id"], f["text"], f["spans"]):
                 low = text.lower()
                 at = [m.span() for m in word.finditer(low)]
+                if len(low) != len(text):  # a few characters become two in lower case
+                    place = [i for i, c in enumerate(text) for _ in c.lower()]
+                    at = [(place[a], place[b - 1] + 1) for a, b in at]
                 gone = sorted({i for s in own for i in range(s["first_word"], s["end_word"])})
                 share = len(gone) / max(len(at), 1)
                 clean = None
                 if share < max_share:
                     clean, last, i = [], 0, 0
-                    base = text if len(low) == len(text) else low  # a few characters change length in lower case
                     while i < len(gone):
                         j = i
                         while j + 1 < len(gone) and gone[j + 1] == gone[j] + 1:
                             j += 1
-                        clean += [base[last : at[gone[i]][0]], " "]
+                        clean += [text[last : at[gone[i]][0]], " "]
                         last, i = at[gone[j]][1], j + 1
-                    clean = "".join([*clean, base[last:]])
+                    clean = "".join([*clean, text[last:]])
                 rows.append((doc, len(at), len(gone), "drop" if clean is None else "cut", clean))
             yield __import__("pandas").DataFrame(rows, columns=["doc_id", "n_words", "leaked_words", "action", "clean_text"])
 

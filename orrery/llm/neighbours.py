@@ -254,7 +254,11 @@ def nearest(valid: DataFrame, queries: DataFrame, sample: int = SAMPLE, block: i
             frame = own.toPandas()
             if len(frame):
                 shared = spark.sparkContext.broadcast(_prepare(frame, chosen))
-                parts.append(valid.where(F.col("space_id").isin(group)).select("space_id", "vec_id", "vector").mapInArrow(_searcher(shared), kinds))
+                part = valid.where(F.col("space_id").isin(group)).select("space_id", "vec_id", "vector").mapInArrow(_searcher(shared), kinds)
+                if slices > 1 or len(groups) > 1:  # one block of queries is held at a time
+                    part = materialize(part, "block")
+                    shared.unpersist()
+                parts.append(part)
     if not parts:
         return spark.createDataFrame([], "query_id long, vec_id long, rank_no int, score double")
     found = parts[0]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from orrery.llm.wordsets import mix
 from orrery.runtime import checked_broadcast, materialize, shared_dir
+from orrery.sources.files import exists, read_text, remove, write_text
 
 #: Characters of a span, of a hashed window and of the context hashed on either side; batches a collection is indexed in.
 SPAN, WINDOW, SIDE, BATCHES = 300, 200, 50, 4
@@ -94,18 +96,37 @@ class FingerprintIndex:
     """Immutable runs of window hashes, each a table bucketed and sorted by hash, so that joins with it need no exchange.
 
     `add` writes a batch as a run, merge-joins it with itself and every earlier run, and compacts: runs of one level are
-    merged into one of the next, so that a collection of b batches has log2(b) runs. The tables lie in the shared folder.
+    merged into one of the next, so that a collection of b batches has log2(b) runs. With `root` the runs lie there and stay,
+    listed in its index.json, so that a later session opens the index and adds to it; else they lie in the shared folder
+    and go with `close`. One writer at a time.
     """
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None) -> None:
-        self.spark, self.runs = spark, []
+    def __init__(self, spark: SparkSession, buckets: int | None = None, root: str | None = None) -> None:
+        self.spark, self.root, self.runs = spark, root, []
+        self.places: dict[str, str] = {}
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        if root and exists(spark, f"{root}/index.json"):
+            held = json.loads(read_text(spark, f"{root}/index.json"))
+            self.buckets = held["buckets"]
+            self.runs = [(run["level"], self._open(run["folder"])) for run in held["runs"]]
+
+    def _open(self, folder: str) -> str:
+        """The table of a run that was written before, under a name of this session."""
+        name = f"orrery_run_{uuid.uuid4().hex}"
+        self.places[name] = folder
+        self.spark.sql(f"CREATE TABLE {name} (hash BIGINT, id BIGINT, place INT, left BIGINT, right BIGINT) USING parquet CLUSTERED BY (hash) SORTED BY (hash) INTO {self.buckets} BUCKETS LOCATION '{self.root}/{folder}'")
+        return name
 
     def _write(self, rows: DataFrame) -> str:
         name = f"orrery_run_{uuid.uuid4().hex}"
-        rows.repartition(self.buckets, "hash").write.bucketBy(self.buckets, "hash").sortBy("hash").option("path", f"{shared_dir(self.spark)}/{name}").saveAsTable(name)
+        self.places[name] = name
+        rows.repartition(self.buckets, "hash").write.bucketBy(self.buckets, "hash").sortBy("hash").option("path", f"{self.root or shared_dir(self.spark)}/{name}").saveAsTable(name)
         return name
 
+    def _list(self) -> None:
+        if self.root:
+            write_text(self.spark, f"{self.root}/index.json", json.dumps({"buckets": self.buckets, "runs": [{"level": level, "folder": self.places[name]} for level, name in self.runs]}))
+
     def add(self, rows: DataFrame) -> list[DataFrame]:
         """Index a batch; the candidates (a, b, at_a, at_b, sides) between it and everything indexed so far, itself included."""
         new = self._write(rows)
@@ -119,23 +140,26 @@ class FingerprintIndex:
             found.append(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(first, F.col("px")).otherwise(F.col("py")).alias("at_a"), F.when(first, F.col("py")).otherwise(F.col("px")).alias("at_b"), "sides"))
         found = [materialize(f, "spans") for f in found]
         self.runs.append((0, new))
+        gone = []
         while len(self.runs) > 1 and self.runs[-1][0] == self.runs[-2][0]:
             (level, x), (_, y) = self.runs[-1], self.runs[-2]
             merged = self._write(self.spark.table(x).unionByName(self.spark.table(y)))
             self.runs = [*self.runs[:-2], (level + 1, merged)]
-            for old in (x, y):
-                self._drop(old)
+            gone += [x, y]
+        self._list()  # before the merged runs go: a list always names runs that are whole
+        for old in gone:
+            self._drop(old)
         return found
 
-    def _drop(self, name: str) -> None:
+    def _drop(self, name: str, files: bool = True) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        from orrery.runtime import _remove
-
-        _remove(self.spark, f"{shared_dir(self.spark)}/{name}")
+        if files:
+            remove(self.spark, f"{self.root or shared_dir(self.spark)}/{self.places[name]}")
 
     def close(self) -> None:
+        """Forget the tables of this session; runs below a root of their own stay."""
         for _, run in self.runs:
-            self._drop(run)
+            self._drop(run, files=self.root is None)
         self.runs = []
 
 
@@ -198,7 +222,7 @@ def candidates(docs: DataFrame, span: int, window: int, side: int, batches: int)
             part = part.where(F.col("id") <= high)
         found += index.add(part)
         low = high
-    index.close()
+    index.close()  # its results are written
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -218,7 +242,7 @@ def shared_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     found = candidates(docs, span, window, side, batches)
     best = materialize(found.groupBy("a", "b").agg(F.max(F.struct("sides", "at_a", "at_b")).alias("r")).select("a", "b", "r.*"), "best")
     sure = materialize(_verify(best, docs, span, window).select("a", "b").distinct(), "sure")
-    doubt = materialize(best.where("sides < 2").join(sure, ["a", "b"], "left_anti").select("a", "b"), "doubt")
+    doubt = materialize(best.join(sure, ["a", "b"], "left_anti").select("a", "b"), "doubt")
     links = sure
     if not doubt.isEmpty():
         again = materialize(found.join(doubt, ["a", "b"], "left_semi").select("a", "b", "at_a", "at_b").distinct(), "again")

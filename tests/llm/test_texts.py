@@ -170,3 +170,33 @@ def test_rolling_hash_and_selection():
         a, b, s = rng.integers(97, 123, 700).astype(np.uint32), rng.integers(97, 123, 700).astype(np.uint32), rng.integers(0, 400)
         b[100:400] = a[s : s + 300]
         assert set(spans.selected(a)[1].tolist()) & set(spans.selected(b)[1].tolist())
+
+
+def test_fingerprint_index_of_two_sessions(spark, tmp_path):
+    """A second index opened on the folder of the first finds what its batch shares with the earlier ones."""
+    pick = random.Random(2)
+    long = lambda: "".join(pick.choice("abcdefgh \n") for _ in range(700))
+    texts = [long() for _ in range(6)]
+    later = [(10, texts[0][100:500] + long()), (11, long() + texts[3][:450]), (12, long())]
+    hashes = lambda rows: spans.window_hashes(spark.createDataFrame(rows, "id long, text string"), 300, 200, 50)
+    root = f"file://{tmp_path}/index"
+    one = spans.FingerprintIndex(spark, 4, root)
+    for part in (texts[:2], texts[2:4], texts[4:]):
+        base = texts.index(part[0])
+        assert sum(f.count() for f in one.add(hashes([(base + i, t) for i, t in enumerate(part)]))) == 0
+    assert [level for level, _ in one.runs] == [1, 0]
+    one.close()
+    two = spans.FingerprintIndex(spark, root=root)
+    assert two.buckets == 4 and [level for level, _ in two.runs] == [1, 0]
+    found = {(r.a, r.b) for f in two.add(hashes(later)) for r in f.collect()}
+    assert found == {(0, 10), (3, 11)} and [level for level, _ in two.runs] == [2]
+    two.close()
+    assert [level for level, _ in spans.FingerprintIndex(spark, root=root).runs] == [2]
+
+
+def test_cut_keeps_case_where_lower_case_is_longer(spark):
+    words_ = [f"Word{i}" for i in range(40)]
+    docs = spark.createDataFrame([(1, "\u0130STANBUL Keep " + " ".join(words_[:14]) + " Stay " * 20)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(words_[:14]))], "item_id long, text string")
+    (r,) = leaks.remove_leaks(docs, items).collect()
+    assert r.action == "cut" and r.clean_text == "\u0130STANBUL Keep  " + " Stay " * 20
